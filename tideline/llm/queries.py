@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import formatting, leakage, pieces, tokens
+from tideline.llm import formatting, language, leakage, pieces, tokens
 from tideline.session import table
 
 
@@ -18,6 +18,14 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.records(table(spark, sf_dir, "radar_events"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(table(spark, sf_dir, "radar_events"))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.labelled(table(spark, sf_dir, "radar_events"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_records, p6_ids, p7_found, p7_cleaned, p8_pieces)
+    own = (p1_found, p1_records, p3_found, p3_segments, p6_ids, p7_found, p7_cleaned, p8_pieces)
     return {f.__name__: f for f in own}
 
 
