@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import formatting, language, leakage, names, pieces, tokens
+from tideline.llm import formatting, history, language, leakage, names, pieces, tokens
 from tideline.session import table
 
 
@@ -26,6 +26,10 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.labelled(table(spark, sf_dir, "radar_events"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeats(table(spark, sf_dir, "radar_events"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(table(spark, sf_dir, "radar_events"))
 
@@ -51,7 +55,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_records, p3_found, p3_segments, p5_found, p5_entities, p6_ids, p7_found, p7_cleaned, p8_pieces)
+    own = (p1_found, p1_records, p3_found, p3_segments, p4_found, p5_found, p5_entities, p6_ids, p7_found, p7_cleaned, p8_pieces)
     return {f.__name__: f for f in own}
 
 
