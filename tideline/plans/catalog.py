@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import late_sql
+from tideline.plans import domain, late_sql, streams
 
-MODULES = (late_sql,)
+MODULES = (domain, late_sql, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
