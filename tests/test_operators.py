@@ -127,3 +127,30 @@ def test_values(spark):
 
 def test_public_addresses():
     assert urls.is_public(["8.8.8.8"]) and not urls.is_public(["8.8.8.8", "10.0.0.1"]) and not urls.is_public([]) and not urls.is_public(["x"])
+
+
+def test_upkeep(spark):
+    from tideline.operators import upkeep
+
+    at = lambda s: F.lit(s).cast("timestamp")
+    one = spark.range(1).select(
+        upkeep.next_slot(at("2026-03-29 00:30:00"), ["02:30", "20:00"], "Europe/Berlin").cast("string"),  # 02:30 is skipped that night
+        upkeep.next_slot(at("2026-01-01 19:00:00"), ["09:00", "20:00"], "Europe/Berlin").cast("string"), upkeep.next_slot(F.lit(None).cast("timestamp"), ["09:00"], "UTC"),
+        upkeep.is_alive(at("2026-01-01 23:58:00"), NOW), upkeep.is_alive(F.lit(None).cast("timestamp"), NOW),
+    ).collect()[0]
+    assert tuple(one) == ("2026-03-29 01:30:00", "2026-01-02 08:00:00", None, True, False)
+    assert upkeep.clock_times("18:00, 9:00,9:00") == ["09:00", "18:00"]
+    with pytest.raises(ValueError):
+        upkeep.clock_times("9:00")
+
+
+def test_config():
+    from tideline.config import Settings, SourceList
+
+    made = SourceList.of({"accounts": ["@Ann", "bo"], "feeds": {"a": "u"}, "blocked_terms": ["Spam"]})
+    assert made.accounts == ("ann", "bo") and made.blocked_terms == ("spam",)
+    for bad in ({"accounts": ["a", "@A"]}, {"feeds": {"A b": "u"}}, {"feeds": {"a": "u", "b": "u"}}, {"other": 1}):
+        with pytest.raises(ValueError):
+            SourceList.of(bad)
+    with pytest.raises(ValueError):
+        Settings(lookback_minutes=100, most_minutes=5)

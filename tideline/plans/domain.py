@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import text, urls, values
-from tideline.operators import dedup, folds, read_models, score, screen
+from tideline.operators import dedup, folds, read_models, score, screen, upkeep
 from tideline.session import table
 
 NOW = datetime(2026, 3, 3)
@@ -408,3 +408,47 @@ def snk_idempotent(t) -> DataFrame:  # noqa: ANN001
 def agg_chats(t) -> DataFrame:  # noqa: ANN001
     """SNK-06, AGG-04: deliveries of each chat."""
     return t("telegram_deliveries").groupBy("chat_id").agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("messages"), F.min("delivered_at").alias("first"), F.max("delivered_at").alias("last"))
+
+
+@_query("""SELECT CASE WHEN status IN ('DISCOVERED', 'SHORTLISTED', 'NOTIFIED', 'SNOOZED', 'DRAFTED', 'SCORED') AND discovered_at < TIMESTAMP '2026-03-02' THEN 'EXPIRED' ELSE status END AS status,
+  count(*) AS n FROM radar_events GROUP BY 1""")
+def stm_expired(t) -> DataFrame:  # noqa: ANN001
+    """STM-09."""
+    rows = upkeep.expired(t("radar_events").select("status", "discovered_at"), SINCE, ["DISCOVERED", "SHORTLISTED", "NOTIFIED", "SNOOZED", "DRAFTED", "SCORED"])
+    return read_models.counts(rows, "status")
+
+
+@_query("""SELECT id, CASE status WHEN 'RUNNING' THEN 'FAILED' ELSE status END AS status, CASE WHEN status = 'RUNNING' THEN coalesce(finished_at, TIMESTAMP '2026-03-03') ELSE finished_at END AS finished_at
+  FROM pipeline_runs WHERE finished_at IS NOT NULL OR status = 'RUNNING'""")
+def stm_closed_runs(t) -> DataFrame:  # noqa: ANN001
+    """STM-14, CAS-14."""
+    return upkeep.closed_runs(t("pipeline_runs"), NOW).where("finished_at IS NOT NULL").select("id", "status", "finished_at")
+
+
+@_query("""SELECT seq, CASE WHEN m < INTERVAL 9 HOUR THEN d + INTERVAL 9 HOUR WHEN m < INTERVAL 18 HOUR THEN d + INTERVAL 18 HOUR ELSE d + INTERVAL 33 HOUR END - INTERVAL 7 HOUR AS slot
+  FROM (SELECT seq, date_trunc('day', l) AS d, l - date_trunc('day', l) AS m FROM (SELECT seq, discovered_at + INTERVAL 7 HOUR AS l FROM radar_events))""")
+def srt_next_slot(t) -> DataFrame:  # noqa: ANN001
+    """SRT-10, STM-16."""
+    slot = upkeep.next_slot(F.col("discovered_at").cast("timestamp"), ["09:00", "18:00"], ZONE)
+    return t("radar_events").select("seq", slot.cast("timestamp_ntz").alias("slot"))
+
+
+@_query("""SELECT e.id, s.total FROM radar_events e JOIN event_scores s ON s.event_id = e.id WHERE e.status = 'SHORTLISTED'
+  QUALIFY row_number() OVER (ORDER BY s.total DESC, e.id) <= greatest(0, least(5, 1000000 - (SELECT count(*) FROM telegram_deliveries WHERE delivered_at >= TIMESTAMP '2026-03-02')))""")
+def srt_budgeted(t) -> DataFrame:  # noqa: ANN001
+    """SRT-08."""
+    rows = read_models.scored(t("radar_events").where("status = 'SHORTLISTED'").select("id"), t("event_scores").select("event_id", "total"))
+    allowed = upkeep.allowance(t("telegram_deliveries"), SINCE, 5, 1_000_000)
+    return upkeep.budgeted(rows, allowed, 5, F.desc("total"), F.col("id")).select("id", "total")
+
+
+@_query("""SELECT source_key AS key, arg_max(status, seq) AS value FROM radar_events GROUP BY source_key""")
+def stm_state(t) -> DataFrame:  # noqa: ANN001
+    """STM-13, CAS-15: the last value of each key of a log."""
+    return upkeep.state(t("radar_events").select("seq", F.col("source_key").alias("key"), F.col("status").alias("value")))
+
+
+@_query("SELECT CAST(json_object('status', status, 'n', count(*)) AS VARCHAR) AS report FROM radar_events GROUP BY status")
+def snk_report(t) -> DataFrame:  # noqa: ANN001
+    """SNK-08."""
+    return upkeep.reported(read_models.counts(t("radar_events"), "status"))
