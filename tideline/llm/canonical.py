@@ -16,6 +16,7 @@ _INVISIBLE = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W_]+")
 #: What a kind keeps: letters, digits and a point or comma between two digits.
 _KEPT = re.compile(r"[^\W_]+(?:[.,](?<=[0-9][.,])(?=[0-9])[^\W_]+)*")
+_POINT = re.compile(r"[0-9][.,][0-9]")
 _SPLIT = re.compile(r"[|\r\n]+")
 _LABEL = r"[^\W\d_][\w'/]*(?:[^\S\r\n]+[\w'/]+){0,2}"
 _FIELD_COLON = re.compile(rf"[^\w\"{{]*({_LABEL})\s*[:=]\s*(.*\w.*)", re.DOTALL)
@@ -76,6 +77,15 @@ def _unescaped(body: str) -> str:
         return body
 
 
+def kind_and_words(text: str) -> tuple[str, list[str]]:
+    """kind() and words() with one folding."""
+    flat = folded(text)
+    found = _WORD.findall(flat)
+    if "|" in flat or "\n" in flat or "\r" in flat or "{" in flat or _POINT.search(flat):
+        return kind(text), found
+    return "".join(found), found
+
+
 def kind(text: str | None) -> str | None:
     """Equal for texts that differ in formatting only; None for null.
 
