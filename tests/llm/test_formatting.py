@@ -71,3 +71,10 @@ def test_copies_with_hot_text_and_nulls(spark, sentence, bucket_rows):
 
 def test_empty(spark):
     assert formatting.copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@given(st.text(st.sampled_from("aÉß1.,5 \n|:{}-\"é​Ａ")))
+def test_kind_and_words_is_both(s):
+    from tideline.llm.canonical import kind_and_words
+
+    assert kind_and_words(s) == (kind(s), words(s))

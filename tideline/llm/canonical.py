@@ -81,9 +81,9 @@ def kind_and_words(text: str) -> tuple[str, list[str]]:
     """kind() and words() with one folding."""
     flat = folded(text)
     found = _WORD.findall(flat)
-    if "|" in flat or "\n" in flat or "\r" in flat or "{" in flat or _POINT.search(flat):
-        return kind(text), found
-    return "".join(found), found
+    if "|" in flat or "\n" in flat or "\r" in flat or "{" in flat:
+        return _kind(flat), found
+    return (_letters(flat) if _POINT.search(flat) else "".join(found)), found
 
 
 def kind(text: str | None) -> str | None:
@@ -92,9 +92,10 @@ def kind(text: str | None) -> str | None:
     A field list is its sorted ``label=value`` pairs; other texts are their letters and digits.  A text
     without a letter or digit has the kind "".
     """
-    if text is None:
-        return None
-    flat = folded(text)
+    return None if text is None else _kind(folded(text))
+
+
+def _kind(flat: str) -> str:
     if ("|" in flat or "\n" in flat or "\r" in flat or "{" in flat) and (found := fields(flat)):
         return "\x1d" + "\x1e".join(sorted(f"{_letters(a)}={_letters(b)}" for a, b in found))
     return _letters(flat)
