@@ -69,8 +69,8 @@ def cycle(store: Store, policy: screen.Policy, now: Callable[[], datetime]) -> C
         written = store.spark.read.schema(EVENTS).parquet(f"{store.folder}/events/batch={number}")
         collected = batch.groupBy("source_key").agg(F.count("*").alias("collected"))
         kept = written.groupBy("source_key").agg(
-            F.count("*").alias("inserted"), F.count_if("reason = 'duplicate_content'").alias("copies"),
-            F.count_if("reason IS NOT NULL AND reason <> 'duplicate_content'").alias("filtered"),
+            F.count("*").alias("inserted"), F.count_if(F.expr("reason = 'duplicate_content'")).alias("copies"),
+            F.count_if(F.expr("reason IS NOT NULL AND reason <> 'duplicate_content'")).alias("filtered"),
         )
         both = collected.join(kept, collected.source_key.eqNullSafe(kept.source_key), "left").drop(kept.source_key).fillna(0)
         both = both.withColumn("exact_duplicates", F.col("collected") - F.col("inserted") + F.col("copies"))
