@@ -155,15 +155,17 @@ class Profiles:
             for i in range(len(LANGUAGES)):
                 counts[i] = np.bincount(which[use & (y[whose] == i)], minlength=len(distinct))
             share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * len(distinct))
-            weight = np.log(share) - np.log(share).mean(axis=0)
+            some = counts.sum(axis=1) > 0  # a language without texts has no prototype
+            weight = np.log(share) - np.log(share[some]).mean(axis=0)
             weight[:, counts.sum(axis=0) < 3] = 0
+            weight[~some] = 0
             self.prototypes = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
             for at in range(0, len(distinct), 512):
                 self.prototypes += weight[:, at : at + 512].astype(np.float32) @ self.vector(distinct[at : at + 512]).astype(np.float32)
             self.places[:] = -1
             self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
             if k + 1 < rounds:
-                keep = self.evidence(parts)[0].argmax(axis=1) == y
+                keep = np.where(some, self.evidence(parts)[0], -np.inf).argmax(axis=1) == y
         return self
 
 
@@ -186,6 +188,8 @@ def label_texts(profiles: Profiles, texts: list[str]) -> tuple[list[list[str]],
     parts = [segments(t) for t in texts]
     dots, norms, letters = profiles.evidence([_plain(p) for ps in parts for p in ps])
     gains = dots * (_SCALE / DIMENSIONS)
+    if (some := profiles.prototypes.any(axis=1)).any():
+        gains[:, ~some] = -1e9
     begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     top = gains.argmax(axis=1)
     some = np.add.reduceat(gains, begin[:-1]) if len(parts) else gains
@@ -221,7 +225,7 @@ def fit(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_text"
 def _confidence(dots: np.ndarray, norms: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
     """Cosines with the prototypes, as shares of one."""
     lengths = np.linalg.norm(prototypes, axis=1)
-    cosine = dots / (norms[:, None] * np.maximum(lengths, 1e-6)[None, :])
+    cosine = np.where(lengths > 0, dots / (norms[:, None] * np.maximum(lengths, 1e-6)[None, :]), -1)
     e = np.exp((cosine - cosine.max(axis=1, keepdims=True)) * 40)
     return e / e.sum(axis=1, keepdims=True)
 
