@@ -111,7 +111,7 @@ def test_text_functions(spark):
     assert [tuple(r) for r in got] == [("strasse s", "A&B", '"x y"', True), (None, None, None, None), ("", "", "", False)]
     one = spark.range(1).select(
         text.first_quoted(F.lit('a "bc" "def"')), text.outer_object(F.lit('x {"a": {}} y')), text.html_escape(F.lit("<a & 'b'>")),
-        text.template_fits(F.lit("go {qmemo_url}")), text.present(F.lit(""), F.lit("b"), F.lit(None).cast("string")), text.bare_length(F.lit(" @a #b http://c d ")),
+        text.template_fits(F.lit("go {url}")), text.present(F.lit(""), F.lit("b"), F.lit(None).cast("string")), text.bare_length(F.lit(" @a #b http://c d ")),
     ).collect()[0]
     assert tuple(one) == (None, '{"a": {}}', "&lt;a &amp; &#x27;b&#x27;&gt;", True, "b", 1)
 

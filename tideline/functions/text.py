@@ -117,7 +117,7 @@ def bare_length(c: Column) -> Column:
     return F.length(F.regexp_replace(bare, rf"^{_SPACE}+|{_SPACE}+$", "")).cast("long")
 
 
-def template_fits(c: Column, placeholder: str = "{qmemo_url}", link: int = 23, most: int = 280) -> Column:
+def template_fits(c: Column, placeholder: str = "{url}", link: int = 23, most: int = 280) -> Column:
     """FLT-12: exactly one placeholder, and short enough with a link in its place."""
     n = (F.length(c) - F.length(F.replace(c, F.lit(placeholder), F.lit("")))) / len(placeholder)
     return (n == 1) & (F.length(c) - len(placeholder) + link <= most)
