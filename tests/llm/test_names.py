@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -64,3 +65,35 @@ def test_empty(spark):
 def test_edits():
     assert names.edits("abcd", "abdc", 2) == 1 and names.edits("abcd", "", 2) == 3 and names.edits("kitten", "sitting", 3) == 3
     assert names.channel("x", "y") == math.inf
+
+
+def _linked(spark, rows):
+    found = {r.author_id: r.entity for r in names.entities(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    return lambda a, b: found[a] == found[b]
+
+
+def test_frequent_tokens_keep_their_candidates(spark):
+    rows = [(f"s{i}", f"{chr(97 + i % 25) * 4}{chr(97 + i // 25) * 3} Smithson", None) for i in range(60)]
+    rows += [(f"m{i}", f"Maren {chr(97 + i % 25) * 4}{chr(97 + i // 25) * 3}", None) for i in range(60)]
+    rows += [("a", "Zebedee Smithson", None), ("b", "Z. Smithson", None), ("c", "Smithson, Z", "zsmithson"), ("d", "Maren Zyskowitz", None), ("e", "Maren Z.", None)]
+    same = _linked(spark, rows)
+    assert same("a", "b") and same("a", "c") and same("d", "e") and not same("a", "d") and not same("a", "s0")
+
+
+def _misspell(rng, t):
+    i = rng.randrange(len(t) - 1)
+    return rng.choice([t[:i] + t[i + 1 :], t[:i] + rng.choice("aeknz") + t[i:], t[:i] + "q" + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :]])
+
+
+def test_accepted_pairs_share_a_key():
+    rng = random.Random(5)
+    first, last = ["ann", "alexander", "maren", "robert", "john", "zebedee", "chris"], ["lee", "smith", "berg", "pascoe", "ormerson", "haskingwick", "association", "coast"]
+    accepted = 0
+    for _ in range(20000):
+        name = [rng.choice(first), *rng.choice([[], [], ["q"], ["coast"]]), rng.choice(last)]
+        other = [rng.choice([t, t, t[0], t[:4], rng.choice(names._NICKNAMES.get(t, t).split()), _misspell(rng, t) if len(t) > 3 else t]) for t in name]
+        rng.shuffle(other)
+        if names.channel(" ".join(other), " ".join(name)) <= names.LIMIT:
+            accepted += 1
+            assert names.keys(" ".join(other), "") & names.keys(" ".join(name), ""), (name, other)
+    assert accepted > 5000

@@ -11,6 +11,8 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,9 +40,9 @@ _NICKNAMES = {
     "john": "jack johnny", "richard": "dick rick rich", "charles": "charlie chuck", "deborah": "deb debbie", "barbara": "barb babs",
 }
 _FORMAL = {(n, full) for full, short in _NICKNAMES.items() for n in short.split()}
-_INITIALS: dict[str, set[str]] = {}  # of the names a nickname may stand for
+_STANDS_FOR: dict[str, set[str]] = {full: {full} for full in _NICKNAMES}  # the formal names of a formal name or nickname
 for _nick, _full in _FORMAL:
-    _INITIALS.setdefault(_nick, set()).add(_full[0])
+    _STANDS_FOR.setdefault(_nick, set()).add(_full)
 
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _RUN_ON = re.compile(r"(?<=\w{3})and( sons\b)|(?<=ment)of\b()")
@@ -58,8 +60,6 @@ PRIOR = 0.25
 WHOLE = 1000
 #: Letters at either end by which names and handles without spaces meet candidates.
 ENDS = 10
-#: A token of more nodes than this, and of more than one node in HEAVY_SHARE, finds candidates only with another token.
-HEAVY, HEAVY_SHARE = 30, 2000
 
 
 def _plain(text: str) -> str:
@@ -111,6 +111,7 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(1 << 17)
 def _token_cost(v: str, c: str) -> float:
     if v == c:
         return 0.0
@@ -181,6 +182,7 @@ def _single(word: str, tokens: list[str]) -> float:
     return math.inf
 
 
+@lru_cache(1 << 14)
 def handles(name: str) -> set[str]:
     """Handles that the owner of a name may choose, without separators."""
     full = [t for t in name.split() if len(t) > 1]
@@ -230,51 +232,88 @@ def _shortened(t: str) -> set[str]:
     return {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
 
 
-def keys(name: str, handle: str, heavy: set[str]) -> set[str]:
-    """Blocks in which a node meets its candidates."""
+def _halves(t: str) -> set[str]:
+    """Both ends of a word: of two words that one edit parts, one end of the shorter's half length, less the middle, is the same."""
+    return {x for h in {(len(t) - 1) // 2, (len(t) - 2) // 2} for x in ("<" + t[:h], ">" + t[-h:])}
+
+
+@lru_cache(1 << 16)
+def marks(t: str) -> frozenset[str]:
+    """Two tokens have a mark in common if the channel takes one for the other without a handle's help, initials aside."""
+    out = {"<" + t[:3]} | {"N" + full for full in _STANDS_FOR.get(t, ())}
+    if 4 <= len(t) <= 6:
+        out |= _shortened(t)
+    if len(t) >= 6:
+        out |= _halves(t)
+    return frozenset(out)
+
+
+def keys(name: str, handle: str) -> set[str]:
+    """Blocks in which a node meets its candidates; they do not depend on how many nodes there are.
+
+    Two names of several tokens that the channel accepts have two pairs of words that fit (key P), or one of them has a
+    single word, the other's remaining words being initials there (key I), or the handle of one is what the other may
+    choose (key H).
+    """
     tokens = name.split()
-    out: set[str] = set()
-    long = [t for t in tokens if len(t) >= 4]
-    rare = [t for t in long if t not in heavy]
-    for t in rare or long:
-        others = {i for o in tokens if o is not t for i in (o[0], *_INITIALS.get(o, ()))} or {""}
-        out |= {f"{s}|{o}" for s in _shortened(t) for o in others}
     full = [t for t in tokens if len(t) > 1]
+    initials = {t for t in tokens if len(t) == 1}
+    out: set[str] = set()
+    for s, t in combinations(full, 2):
+        out |= {"P" + "|".join(sorted((x, y))) for x in marks(s) for y in marks(t)}
+    if len(tokens) > 1:
+        for i, t in enumerate(full):
+            others = {min(o[0] for o in full[:i] + full[i + 1 :])} if len(full) > 1 else initials
+            out |= {f"I{x}|{o}" for x in marks(t) for o in others}
+        if not full:
+            out.add("I" + name)
     if len(full) > 2:  # two initials are a person's, not an acronym
         out.add("A" + "".join(t[0] for t in full))
     if len(full) > 1:
-        out |= {"H" + a[:5] + b[:3] for a, b in ((full[-1], full[0]), (full[0], full[-1]))}
-        turns = ["".join(full[i:] + full[:i]) for i, t in enumerate(full) if t in (rare or long)]
-        turns += ["".join(full[i + 1 :] + full[: i + 1]) for i, t in enumerate(full) if t in (rare or long)]
+        out |= {"H" + h for h in handles(name)}
+        turns = ["".join(full[i:] + full[:i]) for i in range(len(full))]
         out |= {side for w in turns for side in ("C" + w[:ENDS], "D" + w[-ENDS:])}
-    elif tokens and len(tokens[0]) <= 5:
-        out.add("A" + tokens[0])
-    for word in (tokens[0] if len(tokens) == 1 else "", _squeezed(handle)):
-        if len(word) > ENDS - 1:
-            out |= {"C" + word[:ENDS], "D" + word[-ENDS:]}
+    elif len(tokens) == 1:
+        if len(name) <= 5:
+            out.add("A" + name)
+        if len(name) >= ENDS:
+            out |= {"C" + name[:ENDS], "D" + name[-ENDS:]}
     if handle:
-        out.add("H" + handle.replace(" ", ""))
+        out.add("H" + _squeezed(handle))
     return out
 
 
-def attributed(group: list) -> Iterator[tuple[str, str, float]]:
+def attributed(group: list, key: str = "") -> Iterator[tuple[str, str, float]]:
     """(variant node, parent node, log posterior) within one block of rows with node, name, handle, n, authors, spelt.
 
     Fuller spellings come first, then those that more handles spell and that have more authors and rows, so that
     parents never form a cycle; these numbers are those of the name over all data, hence the same in every block.
+    What the block's key is there for tells which pairs need a look: the others meet elsewhere.
     """
     group = sorted(group, key=lambda r: (-sum(len(t) > 1 for t in r.name.split()), -r.spelt, -r.authors, -r.n, r.name, r.node))
     heads: dict[str, str] = {}
-    spelt = {name: handles(name) for name in {r.name for r in group}}
     known = {r.name: r.authors + (r.spelt >= WHOLE) for r in group}
+    kind = key[:1]
     own: list[tuple[str, set[str], str, int]] = []
+    words: list[tuple[str, set[str], str, int]] = []  # those of own that one word is looked up among
     for r in group:
         several = " " in r.name
         if r.name in heads and several:
             yield r.node, heads[r.name], 50.0 + math.log1p(r.n)
             continue
         best, parent = -math.inf, ""
-        for canon, theirs, node, n in own:
+        one = sum(len(t) > 1 for t in r.name.split()) < 2
+        if kind == "H":
+            among = own if r.handle and _squeezed(r.handle) == key[1:] else ()
+        elif kind == "I" and not one:
+            among = words
+        elif kind in ("A", "C", "D") and several:
+            among = words
+        else:
+            among = own
+        for canon, theirs, node, n in among:
+            if kind == "H" and key[1:] not in theirs:
+                continue
             cost = cost_of(r.name, r.handle, canon, theirs, known[r.name] > 1 < known[canon])
             if cost <= LIMIT and (p := math.log1p(n) * PRIOR - cost) > best:
                 best, parent = p, node
@@ -283,7 +322,9 @@ def attributed(group: list) -> Iterator[tuple[str, str, float]]:
         if r.name not in heads:
             heads[r.name] = r.node
             if several or len(r.name) > 9:
-                own.append((r.name, spelt[r.name], r.node, r.n))
+                own.append((r.name, handles(r.name), r.node, r.n))
+                if one:
+                    words.append(own[-1])
 
 
 def entities(rows: DataFrame, *, author_col: str = "author_id", name_col: str = "author_display_name", handle_col: str = "author_handle") -> DataFrame:
@@ -315,15 +356,10 @@ def entities(rows: DataFrame, *, author_col: str = "author_id", name_col: str =
     spelt = spelt.join(used, "form").groupBy("name").agg(F.sum(F.col("k") * F.col("weight")).alias("spelt"))
     per_name = per_name.join(spelt, "name", "left").fillna(0, ["spelt"])
     nodes = materialize(known.groupBy("name", "handle").agg(F.min("author_id").alias("node")).join(per_name, "name"), "nodes")
-    total = nodes.count()
-    tokens = nodes.select(F.explode(F.array_distinct(F.split("name", " "))).alias("t")).where("length(t) > 3")
-    least = max(HEAVY, total // HEAVY_SHARE)  # at most HEAVY_SHARE tokens for each token of a name
-    heavy = {r.t for r in tokens.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > least).select("t").collect()}
-    held = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, *r) for r in pdf.itertuples(index=False) for k in keys(r.name, r.handle, held.value)]
+            out = [(k, *r) for r in pdf.itertuples(index=False) for k in keys(r.name, r.handle)]
             yield pd.DataFrame(out, columns=["key", "node", "name", "handle", "n", "authors", "spelt"])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,12 +368,12 @@ def entities(rows: DataFrame, *, author_col: str = "author_id", name_col: str =
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if group and group[0].key != row.key:
-                    out += attributed(group)
+                    out += attributed(group, group[0].key)
                     group = []
                 group.append(row)
             yield pd.DataFrame(out, columns=["node", "parent", "score"])
             out = []
-        yield pd.DataFrame(list(attributed(group)), columns=["node", "parent", "score"])
+        yield pd.DataFrame(list(attributed(group, group[0].key if group else "")), columns=["node", "parent", "score"])
 
     blocks = nodes.select("node", "name", "handle", "n", "authors", "spelt").mapInPandas(block, "key string, node string, name string, handle string, n bigint, authors bigint, spelt bigint")
     shared = blocks.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size")
