@@ -97,3 +97,15 @@ def test_accepted_pairs_share_a_key():
             accepted += 1
             assert names.keys(" ".join(other), "") & names.keys(" ".join(name), ""), (name, other)
     assert accepted > 5000
+
+
+def test_names_in_one_word_meet_in_spite_of_an_edit(spark):
+    rng = random.Random(6)
+    for name in ("anna berg", "pascoe ormerson", "bram q caldan", "jaskav coast savings association"):
+        tokens = name.split()
+        for _ in range(300):
+            k = rng.randrange(len(tokens))
+            word = _misspell(rng, "".join(tokens[k:] + tokens[:k]))
+            assert names.channel(word, name) > names.LIMIT or names.keys(word, "") & names.keys(name, ""), (word, name)
+    same = _linked(spark, [("a", "Pascoe Ormerson", None), ("b", "pascoeormarson", None), ("c", "Anna Berg", None), ("d", "annaberg", None), ("e", "bergaena", "notes_12"), ("f", "Anna Borgman", None)])
+    assert same("a", "b") and same("c", "d") and same("c", "e") and not same("a", "c") and not same("c", "f")

@@ -58,8 +58,6 @@ BOTH_KNOWN = 5.0
 PRIOR = 0.25
 #: A handle that spells a whole name, against one that spells all but an initial.
 WHOLE = 1000
-#: Letters at either end by which names and handles without spaces meet candidates.
-ENDS = 10
 
 
 def _plain(text: str) -> str:
@@ -130,6 +128,7 @@ def _token_cost(v: str, c: str) -> float:
     return math.inf
 
 
+@lru_cache(1 << 17)  # blocks of like keys follow each other and hold the same pairs
 def channel(variant: str, canon: str) -> float:
     """What it costs that a name written as canon appears as variant; inf when it cannot."""
     if variant == canon:
@@ -166,20 +165,20 @@ def channel(variant: str, canon: str) -> float:
     return cost + (COST["reordered"] if order != sorted(order) else 0)
 
 
+def _run_together(tokens: list[str]) -> list[str]:
+    """What the tokens, with and without initials, give in one word in any rotation; a bare surname is not all of a name."""
+    full = [t for t in tokens if len(t) > 1]
+    joined = ["".join(some[k:] + some[:k]) for some in ((tokens, full) if len(full) > 1 else (tokens,)) for k in range(len(some))]
+    return list(dict.fromkeys(f for j in joined for f in (j, j.replace("sons", "andsons"), j.replace("department", "departmentof"))))
+
+
 def _single(word: str, tokens: list[str]) -> float:
     """A name in one word: all tokens run together in some rotation, or their initials."""
     full = [t for t in tokens if len(t) > 1]
     if word == "".join(t[0] for t in full) and len(full) > 1:
         return COST["acronym"]
-    for some in (tokens, full):
-        for k in range(len(some)):
-            joined = "".join(some[k:] + some[:k])
-            if abs(len(joined) - len(word)) <= 2 + 3 * (len(tokens) > 2):
-                for form in (joined, joined.replace("sons", "andsons"), joined.replace("department", "departmentof")):
-                    n = edits(word, form, 2)
-                    if n <= 2 and len(word) > 7:
-                        return COST["compact"] + (0, COST["typo"], COST["typos"])[n]
-    return math.inf
+    n = min((edits(word, form, 2) for form in _run_together(tokens)), default=3) if len(word) > 7 else 3
+    return COST["compact"] + (0, COST["typo"], COST["typos"])[n] if n <= 2 else math.inf
 
 
 @lru_cache(1 << 14)
@@ -253,7 +252,8 @@ def keys(name: str, handle: str) -> set[str]:
 
     Two names of several tokens that the channel accepts have two pairs of words that fit (key P), or one of them has a
     single word, the other's remaining words being initials there (key I), or the handle of one is what the other may
-    choose (key H).
+    choose (key H).  A name in one word of eight letters or more meets what is run together to it but for one edit by
+    either half (key C), any by its letters as an acronym (key A).
     """
     tokens = name.split()
     full = [t for t in tokens if len(t) > 1]
@@ -271,13 +271,12 @@ def keys(name: str, handle: str) -> set[str]:
         out.add("A" + "".join(t[0] for t in full))
     if len(full) > 1:
         out |= {"H" + h for h in handles(name)}
-        turns = ["".join(full[i:] + full[:i]) for i in range(len(full))]
-        out |= {side for w in turns for side in ("C" + w[:ENDS], "D" + w[-ENDS:])}
-    elif len(tokens) == 1:
-        if len(name) <= 5:
-            out.add("A" + name)
-        if len(name) >= ENDS:
-            out |= {"C" + name[:ENDS], "D" + name[-ENDS:]}
+    if len(tokens) > 1:
+        out |= {"C" + x for form in _run_together(tokens) if len(form) > 6 for x in _halves(form)}
+    elif tokens:
+        out.add("A" + name)
+        if len(name) > 7:
+            out |= {"C" + x for x in _halves(name)}
     if handle:
         out.add("H" + _squeezed(handle))
     return out
@@ -307,7 +306,7 @@ def attributed(group: list, key: str = "") -> Iterator[tuple[str, str, float]]:
             among = own if r.handle and _squeezed(r.handle) == key[1:] else ()
         elif kind == "I" and not one:
             among = words
-        elif kind in ("A", "C", "D") and several:
+        elif kind in ("A", "C") and several:
             among = words
         else:
             among = own
