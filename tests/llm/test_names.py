@@ -109,3 +109,11 @@ def test_names_in_one_word_meet_in_spite_of_an_edit(spark):
             assert names.channel(word, name) > names.LIMIT or names.keys(word, "") & names.keys(name, ""), (word, name)
     same = _linked(spark, [("a", "Pascoe Ormerson", None), ("b", "pascoeormarson", None), ("c", "Anna Berg", None), ("d", "annaberg", None), ("e", "bergaena", "notes_12"), ("f", "Anna Borgman", None)])
     assert same("a", "b") and same("c", "d") and same("c", "e") and not same("a", "c") and not same("c", "f")
+
+
+def test_names_of_one_short_word(spark):
+    rows = [("a", "Reuters", "reuters"), ("b", "Reuters", None), ("c", "Reuters", "reutersworld"), ("d", "Rueters", None), ("e", "Reuters", "mariasilva")]
+    rows += [("f", "Zaz", "zazmusic"), ("g", "ZAZ", None), ("h", "Zak", None), ("i", "JCSA", None), ("j", "JCSA", "jcsa"), ("k", "Jaskav Coast Savings Association", None)]
+    same = _linked(spark, rows)
+    assert same("a", "b") and same("a", "c") and same("a", "d") and not same("a", "e")
+    assert same("f", "g") and not same("f", "h") and same("i", "k") and same("j", "k")

@@ -54,6 +54,9 @@ COST = {"typo": 1.8, "typos": 6.5, "initial": 1.0, "short": 1.0, "nickname": 1.0
 HANDLE_FITS, HANDLE_DIFFERS, LIMIT = -4.0, 0.5, 6.0
 #: Two spellings that both have a second author or a handle of their own are hardly one and a typo of it.
 BOTH_KNOWN = 5.0
+#: A name in one word of at most so many letters says less: those of SHORT_WORD are linked when equal only, at a cost
+#: that leaves a longer spelled form the first choice; the others may have one typo, at a further cost.
+WORD, SHORT_WORD, WORD_TYPO = 9, 5, 2.0
 #: Weight of the logarithm of a candidate's frequency.
 PRIOR = 0.25
 #: A handle that spells a whole name, against one that spells all but an initial.
@@ -227,6 +230,22 @@ def cost_of(variant: str, handle: str, canon: str, canon_handles: set[str], both
     return cost
 
 
+def contradict(a: str, b: str) -> bool:
+    """Whether two handles both say something and neither holds the other."""
+    a, b = _squeezed(a), _squeezed(b)
+    return bool(a and b) and a not in b and b not in a
+
+
+def word_cost(variant: str, handle: str, canon: str, canon_handle: str) -> float:
+    """What it costs that a name in one short word stands for another; inf when their handles contradict each other."""
+    if contradict(handle, canon_handle):
+        return math.inf
+    if min(len(variant), len(canon)) <= SHORT_WORD:
+        return LIMIT if variant == canon else math.inf
+    n = edits(variant, canon, 1)
+    return (0.0, COST["typo"] + WORD_TYPO, math.inf)[n]
+
+
 def _shortened(t: str) -> set[str]:
     return {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
 
@@ -253,7 +272,7 @@ def keys(name: str, handle: str) -> set[str]:
     Two names of several tokens that the channel accepts have two pairs of words that fit (key P), or one of them has a
     single word, the other's remaining words being initials there (key I), or the handle of one is what the other may
     choose (key H).  A name in one word of eight letters or more meets what is run together to it but for one edit by
-    either half (key C), any by its letters as an acronym (key A).
+    either half (key C), any by its letters as an acronym (key A), and other names in one word like two tokens (key S).
     """
     tokens = name.split()
     full = [t for t in tokens if len(t) > 1]
@@ -274,7 +293,7 @@ def keys(name: str, handle: str) -> set[str]:
     if len(tokens) > 1:
         out |= {"C" + x for form in _run_together(tokens) if len(form) > 6 for x in _halves(form)}
     elif tokens:
-        out.add("A" + name)
+        out |= {"A" + name} | {"S" + x for x in marks(name)}
         if len(name) > 7:
             out |= {"C" + x for x in _halves(name)}
     if handle:
@@ -286,15 +305,15 @@ def attributed(group: list, key: str = "") -> Iterator[tuple[str, str, float]]:
     """(variant node, parent node, log posterior) within one block of rows with node, name, handle, n, authors, spelt.
 
     Fuller spellings come first, then those that more handles spell and that have more authors and rows, so that
-    parents never form a cycle; these numbers are those of the name over all data, hence the same in every block.
+    parents never form a cycle (of one word's nodes those with a handle come first); these numbers are those of the name over all data, hence the same in every block.
     What the block's key is there for tells which pairs need a look: the others meet elsewhere.
     """
-    group = sorted(group, key=lambda r: (-sum(len(t) > 1 for t in r.name.split()), -r.spelt, -r.authors, -r.n, r.name, r.node))
+    group = sorted(group, key=lambda r: (-sum(len(t) > 1 for t in r.name.split()), -r.spelt, -r.authors, -r.n, r.name, " " not in r.name and not r.handle, r.node))
     heads: dict[str, str] = {}
     known = {r.name: r.authors + (r.spelt >= WHOLE) for r in group}
     kind = key[:1]
-    own: list[tuple[str, set[str], str, int]] = []
-    words: list[tuple[str, set[str], str, int]] = []  # those of own that one word is looked up among
+    own: list[tuple[str, set[str], str, int, str]] = []
+    words: list[tuple[str, set[str], str, int, str]] = []  # those of own that one word is looked up among
     for r in group:
         several = " " in r.name
         if r.name in heads and several:
@@ -310,20 +329,22 @@ def attributed(group: list, key: str = "") -> Iterator[tuple[str, str, float]]:
             among = words
         else:
             among = own
-        for canon, theirs, node, n in among:
+        for canon, theirs, node, n, canon_handle in among:
             if kind == "H" and key[1:] not in theirs:
                 continue
-            cost = cost_of(r.name, r.handle, canon, theirs, known[r.name] > 1 < known[canon])
+            if not several and " " not in canon and min(len(r.name), len(canon)) <= WORD:
+                cost = word_cost(r.name, r.handle, canon, canon_handle)
+            else:
+                cost = cost_of(r.name, r.handle, canon, theirs, known[r.name] > 1 < known[canon])
             if cost <= LIMIT and (p := math.log1p(n) * PRIOR - cost) > best:
                 best, parent = p, node
         if parent:
             yield r.node, parent, best
-        if r.name not in heads:
-            heads[r.name] = r.node
-            if several or len(r.name) > 9:
-                own.append((r.name, handles(r.name), r.node, r.n))
-                if one:
-                    words.append(own[-1])
+        if r.name not in heads or (not several and len(r.name) <= WORD):
+            heads.setdefault(r.name, r.node)
+            own.append((r.name, handles(r.name), r.node, r.n, r.handle))
+            if one:
+                words.append(own[-1])
 
 
 def entities(rows: DataFrame, *, author_col: str = "author_id", name_col: str = "author_display_name", handle_col: str = "author_handle") -> DataFrame:
