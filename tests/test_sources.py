@@ -97,3 +97,18 @@ def test_ingest_stream_is_idempotent(spark, tmp_path, split):
     batch = spark.read.schema(schema).parquet(str(tmp_path / "in"))
     ingest.cycle(store, screen.Policy(), lambda: NOW.replace(tzinfo=None))(batch, 99)  # all known by now
     assert store.read("events", ingest.EVENTS).count() == 3
+
+
+def test_progress_stops_before_the_failing_minute(spark):
+    now = datetime(2026, 5, 1, 12, 0, 30, tzinfo=UTC)
+
+    def run(cursor, *errors):
+        rows = [(datetime(2026, 5, 1, 11, 50 + i, tzinfo=UTC), e) for i, e in enumerate(errors)]
+        return tuple(quotes.progress(spark.createDataFrame(rows, "minute timestamp, error string"), cursor, now).first())
+
+    at = "20260501115000"
+    assert run(at, None, None, "gdelt_http_500", None, "gdelt_http_503") == ("20260501115200", "gdelt_http_500")
+    assert run(at, "gdelt_timeout", None) == (None, "gdelt_timeout")
+    assert run(at, None, None) == ("20260501115200", None) and run(at) == (at, None)
+    assert run("20260501120100") == (None, "gdelt_cursor_ahead") and run("20260501120000") == ("20260501120000", None)
+    assert run("no time") == ("20260501105800", None)

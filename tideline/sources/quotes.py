@@ -31,6 +31,24 @@ def wanted_minutes(spark: SparkSession, cursor: str | None, now: datetime, *, lo
     return found.withColumn("file", F.concat(F.date_format("minute", values.MINUTE_FORMAT), F.lit(".gqg.json.gz")))
 
 
+def progress(outcomes: DataFrame, cursor: str | None, now: datetime, *, lookback_minutes: int = 60, lag_minutes: int = 2) -> DataFrame:
+    """SRC-07: cursor, error_code after a run over minute, error (null for a file read, a gap or one left out as too large).
+
+    The minutes before the first failing one are kept and that one comes again; without any the cursor is null, which is
+    no success.  A cursor ahead of now is the error gdelt_cursor_ahead.
+    """
+    moment = values.minute(F.lit(now).cast("timestamp"))
+    lookback = moment - F.expr(f"INTERVAL {lag_minutes + lookback_minutes} MINUTE")  # as in wanted_minutes
+    start = values.minute(F.coalesce(F.try_to_timestamp(F.lit(cursor).cast("string"), F.lit(values.MINUTE_FORMAT)), lookback))
+    failed = F.col("error").isNotNull()
+    made = outcomes.agg(F.min(F.when(failed, F.col("minute"))).alias("stop"), F.min_by("error", F.when(failed, F.col("minute"))).alias("code"), F.max("minute").alias("last"))
+    made = made.withColumns({"start": start, "ahead": start > moment})
+    stop = F.when(F.col("stop") > F.col("start"), F.col("stop"))
+    after = F.coalesce(F.col("last") + F.expr("INTERVAL 1 MINUTE"), "start")
+    reached = F.when(F.col("ahead"), None).when(F.col("stop").isNotNull(), stop).otherwise(after)
+    return made.select(F.date_format(reached, values.MINUTE_FORMAT).alias("cursor"), F.when(F.col("ahead"), "gdelt_cursor_ahead").otherwise(F.col("code")).alias("error_code"))
+
+
 def too_new(minute: Column, server: Column, lag_minutes: int = 2) -> Column:
     """SRC-02: a missing minute that the server's clock has not reached yet is an error, not a gap."""
     return minute > server - F.expr(f"INTERVAL {lag_minutes} MINUTE") + F.expr("INTERVAL 1 MINUTE")
