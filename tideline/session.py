@@ -26,30 +26,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is removed when the driver ends, or by discard()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back with the same schema: cuts the lineage, survives lost executors.
 
     The folder is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
-    if not _written:
-        atexit.register(clean)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove paths of scratch() that nothing reads any more."""
+    _written[:] = [w for w in _written if w[1] not in paths]
+    for path in paths:
+        _delete(spark, path)
+
+
 def clean() -> None:
-    """Remove the tables that materialize wrote; errors are ignored since the session may have ended."""
+    """Remove all paths of scratch(); errors are ignored since the session may have ended."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001
-            pass
+        _delete(*_written.pop())
