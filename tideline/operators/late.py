@@ -9,21 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-_FIRST = """
-SELECT source, external_id, min(seq) AS first_seq FROM {rows}
-WHERE source IS NOT NULL AND external_id IS NOT NULL AND seq IS NOT NULL GROUP BY source, external_id
-"""
-
 _COUNTED = """
-SELECT r.seq, r.run_id, r.source_key, date_trunc('HOUR', r.published_at) AS hour_start, r.discovered_at
-FROM {rows} r LEFT SEMI JOIN {first} f
-  ON r.source = f.source AND r.external_id = f.external_id AND r.seq = f.first_seq
+SELECT r.seq AS seq, r.run_id AS run_id, r.source_key AS source_key, date_trunc('HOUR', r.published_at) AS hour_start,
+       r.discovered_at AS discovered_at
+FROM (
+  SELECT min_by(struct(seq, run_id, source_key, published_at, discovered_at), seq) AS r
+  FROM {rows} WHERE seq IS NOT NULL
+  GROUP BY source, external_id, CASE WHEN source IS NULL OR external_id IS NULL THEN seq END
+)
 WHERE r.source_key IS NOT NULL AND r.published_at IS NOT NULL AND r.discovered_at IS NOT NULL
-UNION ALL
-SELECT seq, run_id, source_key, date_trunc('HOUR', published_at), discovered_at
-FROM {rows}
-WHERE (source IS NULL OR external_id IS NULL) AND source_key IS NOT NULL AND published_at IS NOT NULL
-  AND discovered_at IS NOT NULL
 """
 
 _CELLS = """
@@ -48,22 +42,29 @@ WINDOW arrivals AS (PARTITION BY source_key, hour_start ORDER BY late, first_seq
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
+_CORRECTIONS = """
+SELECT run_id, source_key, hour_start
+FROM (
+  SELECT *, lag(items) OVER (PARTITION BY source_key, hour_start ORDER BY report_no) AS items_before FROM {revisions}
+)
+WHERE late AND items > coalesce(items_before, 0)
+"""
+
 
 def cells(rows: DataFrame, *, report_hours: int = 1, cutoff_hours: int = 72) -> DataFrame:
     """Cells of the triangle: source_key, hour_start, late, run_id, cell_items, first_seq.
 
     rows: seq, run_id, source, external_id, source_key, published_at, discovered_at; other columns are ignored.
     Only the first arrival (smallest seq) of each (source, external_id) counts; a row that lacks one of the two has
-    no identity to share and counts by itself.  Rows without source_key, published_at or discovered_at belong to no
+    no identity to share and counts by itself.  Rows without seq have no place in the order of arrival and are left
+    out.  Rows without source_key, published_at or discovered_at belong to no
     cell.  An hour is reported report_hours after its end; a row discovered later is late, one discovered more than
     cutoff_hours after the end is dropped.  late is false and run_id null for the rows in time; a late row without
-    run_id is in the cell of the null run.  The identity pass keeps one long per key and combines before its
-    shuffle, so a key that holds a third of all rows costs no more than any other.
+    run_id is in the cell of the null run.  One scan, and one narrow row per identity and task is shuffled, so a key
+    that holds a third of all rows costs no more than any other.
     """
     spark = rows.sparkSession
-    rows = rows.select("seq", "run_id", "source", "external_id", "source_key", "published_at", "discovered_at")
-    first = spark.sql(_FIRST, rows=rows)
-    counted = spark.sql(_COUNTED, rows=rows, first=first)
+    counted = spark.sql(_COUNTED, rows=rows)
     hours = "INTERVAL '{}' HOUR"
     return spark.sql(
         _CELLS.replace("{report}", hours.format(1 + report_hours)).replace("{cutoff}", hours.format(1 + cutoff_hours)),
@@ -81,6 +82,5 @@ def revisions(rows: DataFrame, *, report_hours: int = 1, cutoff_hours: int = 72)
 
 
 def corrections(rows: DataFrame, *, report_hours: int = 1, cutoff_hours: int = 72) -> DataFrame:
-    """run_id, source_key, hour_start of each run that corrects a reported hour."""
-    found = revisions(rows, report_hours=report_hours, cutoff_hours=cutoff_hours)
-    return found.where("late").select("run_id", "source_key", "hour_start")
+    """run_id, source_key, hour_start of each run that corrects a reported hour: its revision differs from the one before."""
+    return rows.sparkSession.sql(_CORRECTIONS, revisions=revisions(rows, report_hours=report_hours, cutoff_hours=cutoff_hours))
