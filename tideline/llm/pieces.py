@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ from tideline.llm.tokens import TOKENIZERS, VOCABULARY, MergeReplay, encoder
 LIMIT, OVERLAP, LEAST = 512, 64, 224
 #: Pre-tokens of the rolling hash, and pre-tokens from landmark to landmark on average.
 WINDOW, SPACING = 8, 48
-#: A pre-token of more tokens than this is taken in parts of PART code points.
-LONG, PART = 48, 12
+#: A pre-token of more tokens than this is taken in parts of PART code points or little more, whole graphemes; one of
+#: more than GRAPHEME code points is cut itself.
+LONG, PART, GRAPHEME = 48, 12, 48
+
+_CLUSTER = regex.compile(r"\X")
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_ENDER, _CLOSER, _LINE, _BLANK = 1, 2, 4, 8
+_ENDER, _CLOSER, _LINE, _BLANK, _MARK = 1, 2, 4, 8, 16
 # Signs that end a sentence, that may follow them, that end a line, that are white space.
 _SIGNS = {
     _ENDER: ".!?…。！？",
@@ -30,6 +35,7 @@ _SIGNS = {
 _FLAGS = np.zeros(0x110000, np.uint8)
 for _flag, _chars in _SIGNS.items():
     _FLAGS[[ord(c) for c in _chars]] |= _flag
+_FLAGS[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]] |= _MARK
 
 
 def _hashes(first_id: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -75,6 +81,7 @@ def plan(text: str, starts: np.ndarray, tokens: np.ndarray, ids: np.ndarray, lim
     can[0] = False
     can[1:] &= ~whole_blank[:-1]
     before = flags[starts - 1]
+    can &= ~(((here & _MARK) > 0) & ((before & _MARK) == 0))  # a mark stays with its letter
     ended = (before & _ENDER) | (((before & _CLOSER) >> 1) & flags[np.maximum(starts - 2, 0)])
     sentence = np.flatnonzero(can & ((blank & (ended > 0)) | ((here & _LINE) > 0)))
     word = np.flatnonzero(can & blank)
@@ -105,13 +112,31 @@ def plan(text: str, starts: np.ndarray, tokens: np.ndarray, ids: np.ndarray, lim
     return [(int(edge[a]), int(edge[b]), int(edge[c])) for a, b, c in out]
 
 
-def _units(replay: MergeReplay, text: str, starts: np.ndarray, stops: np.ndarray, tokens: np.ndarray, ids: np.ndarray, by_bytes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pre-tokens with the long ones in parts; a part counts as its bytes, or as its own encoding."""
+def _part_edges(word: str) -> list[int]:
+    """Where the parts of a long pre-token begin."""
+    if word.isascii():
+        return list(range(0, len(word), PART))
+    out, at = [0], 0
+    for m in _CLUSTER.finditer(word):
+        if m.start() - at >= PART:
+            at = m.start()
+            out.append(at)
+        for inside in range(m.start() + GRAPHEME, m.end(), GRAPHEME):
+            at = inside
+            out.append(at)
+    return out
+
+
+def _units(replay: MergeReplay, text: str, starts: np.ndarray, stops: np.ndarray, tokens: np.ndarray, ids: np.ndarray, by_bytes: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pre-tokens with the long ones in parts; a part counts as its own encoding, in those of by_bytes as its bytes."""
     long = np.flatnonzero(tokens > LONG)
-    parts = [(i, a, min(a + PART, int(stops[i]))) for i in long.tolist() for a in range(int(starts[i]), int(stops[i]), PART)]
+    parts = []
+    for i in long.tolist():
+        edge = [*_part_edges(text[starts[i] : stops[i]]), int(stops[i] - starts[i])]
+        parts += [(i, int(starts[i]) + a, int(starts[i]) + b) for a, b in zip(edge, edge[1:], strict=False)]
     texts = [text[a:b] for _, a, b in parts]
     flat, where = replay.encode_batch(texts)
-    count = [len(t.encode("utf-8", "replace")) for t in texts] if by_bytes else np.diff(where)
+    count = [len(t.encode("utf-8", "replace")) if i in by_bytes else n for (i, _, _), t, n in zip(parts, texts, np.diff(where).tolist(), strict=True)]
     keep = np.ones(len(starts), bool)
     keep[long] = False
     s = np.concatenate([starts[keep], [a for _, a, _ in parts]]).astype(np.int64)
@@ -132,12 +157,19 @@ def split_texts(replay: MergeReplay, texts: list[str | None], limit: int, overla
         a, b = edge[i], edge[i + 1]
         own = starts[a:b].astype(np.int64), tokens[a:b], ids[a:b]
         if (own[1] > LONG).any():
-            for by_bytes in (False, True):
+            # parts together may have more tokens than each by itself; where that breaks a bound, bytes count, which no
+            # encoding exceeds, in the pre-tokens of that piece only
+            by_bytes: set[int] = set()
+            while True:
                 cut = plan(texts[i], *_units(replay, texts[i], own[0], stops[a:b], own[1], own[2], by_bytes), limit, overlap, least)
                 counts = np.diff(replay.encode_batch([texts[i][s:e] for s, _, e in cut])[1])
                 shared = np.diff(replay.encode_batch([texts[i][s:m] for s, m, _ in cut])[1])
-                if counts.max() <= limit and shared.max() <= overlap:
+                bad = [cut[k] for k in np.flatnonzero((counts > limit) | (shared > overlap)).tolist()]
+                more = {j for s, _, e in bad for j in np.flatnonzero((own[1] > LONG) & (own[0] < e) & (stops[a:b] > s)).tolist()} - by_bytes
+                if not more:
+                    assert not bad, "a piece is over its bounds"
                     break
+                by_bytes |= more
             yield i, [(*p, int(n)) for p, n in zip(cut, counts, strict=True)]
         else:
             cut = plan(texts[i], *own, limit, overlap, least)

@@ -100,6 +100,9 @@ class MergeReplay:
         self.keys = np.zeros(0, np.uint64)
         self.key_number = np.zeros(0, np.int64)
         self.pending: list[bytes] = []
+        self.codes = np.zeros(1 << 16, np.uint32)  # the code points of all pre-tokens in a row, and where each begins
+        self.code_start = np.zeros(1, np.int64)
+        self.apart: dict[str, int] = {}  # those whose hash another one has
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1, np.int64)
         self.words = 0
@@ -185,7 +188,8 @@ class MergeReplay:
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of each pre-token, its start and end as code points of its text, pre-tokens of each text.
 
-        A pre-token is known by a 64-bit hash of its code points and its length.
+        A pre-token is looked up by a 64-bit hash and then compared by its code points; one whose hash belongs to
+        another is kept apart by itself.
         """
         return _joined([self._numbers(part) for part in _parts(texts)])
 
@@ -210,18 +214,34 @@ class MergeReplay:
         known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         number = np.where(known, self.key_number[at] if len(self.keys) else 0, 0)
         fresh = np.flatnonzero(~known)
+        length = stops - starts
         if len(fresh):
-            a, b = starts[first[fresh]].tolist(), stops[first[fresh]].tolist()
-            self.pending += [whole[i:j].encode("utf-8", "replace") for i, j in zip(a, b, strict=True)]
-            number[fresh] = self.words + np.arange(len(fresh))
-            self.words += len(fresh)
+            at = first[fresh]
+            number[fresh] = self._enter([whole[i:j] for i, j in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
             self.keys = np.concatenate([self.keys, distinct[fresh]])
             self.key_number = np.concatenate([self.key_number, number[fresh]])
             order = np.argsort(self.keys, kind="stable")
             self.keys, self.key_number = self.keys[order], self.key_number[order]
+        found = number[which]
+        for i in np.flatnonzero(~_alike(codes, starts, length, self.codes, self.code_start[found], np.diff(self.code_start)[found])).tolist():
+            word = whole[starts[i] : stops[i]]
+            if word not in self.apart:
+                self.apart[word] = self._enter([word])[0]
+            found[i] = self.apart[word]
         per_text = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
         base = np.repeat(np.concatenate([[0], ends[:-1] + 1]), per_text)
-        return number[which].astype(np.int32), (starts - base).astype(np.int32), (stops - base).astype(np.int32), per_text
+        return found.astype(np.int32), (starts - base).astype(np.int32), (stops - base).astype(np.int32), per_text
+
+    def _enter(self, words: list[str]) -> np.ndarray:
+        """Numbers of new pre-tokens."""
+        self.pending += [w.encode("utf-8", "replace") for w in words]
+        ends = self.code_start[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        while ends[-1] > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.codes[self.code_start[-1] : ends[-1]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.code_start = np.concatenate([self.code_start, ends])
+        self.words += len(words)
+        return np.arange(self.words - len(words), self.words)
 
     def learn(self) -> None:
         """Make the ids of all pending pre-tokens."""
@@ -253,6 +273,19 @@ class MergeReplay:
             self.forget()
 
 
+def _alike(a: np.ndarray, start_a: np.ndarray, length_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, length_b: np.ndarray) -> np.ndarray:
+    """Whether the stretches of a and b (none empty) have the same length and code points."""
+    out = length_a == length_b
+    at = np.flatnonzero(out)
+    n = length_a[at]
+    if len(at):
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum()))
+        same = a[np.repeat(start_a[at] - begin, n) + inner] == b[np.repeat(start_b[at] - begin, n) + inner]
+        out[at] = np.logical_and.reduceat(same, begin)
+    return out
+
+
 def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
