@@ -105,6 +105,8 @@ def plan(text: str, starts: np.ndarray, tokens: np.ndarray, ids: np.ndarray, lim
         out.append((begin, new, end))
         reach = int(np.searchsorted(total, total[end] - overlap))
         again = _near(word, reach, reach, min(end - 1, int(np.searchsorted(total, total[end] - overlap * 3 // 4))))
+        k = int(np.searchsorted(other, reach))
+        reach = int(other[k]) if k < len(other) and other[k] < end else reach
         begin, new = max(again if again >= 0 else reach, begin + 1) if end > begin + 1 else end, end
         begin = min(begin, new)
     out.append((begin, new, n))
