@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tideline.llm import language
@@ -37,19 +38,41 @@ def test_labels_and_segments(spark):
     assert not any(s in (5, 6) for s, _ in segments)
 
 
+NOTHING = ["12345 67.8", "🔥🔥 https://a.example/the-story-of-the-day", "@anna_lena #dertag @theman", "日本の新しい図書館は今日開きました。", "Η νέα βιβλιοθήκη άνοιξε σήμερα στην πόλη.", "...", "١٢٣"]
+
+
+def test_no_evidence_no_language(spark):
+    rows = _rows() + [(100 + i, t, None, "x") for i, t in enumerate(NOTHING)]
+    df = spark.createDataFrame(rows, "seq bigint, original_text string, language string, text string")
+    assert not [r for r in language.mislabelled(df).collect() if 100 <= r.seq < 200]
+    segments = [r for r in language.labelled(df).collect() if r.seq is not None and 100 <= r.seq < 200]
+    assert len(segments) >= len(NOTHING) and all(r.lang is None and r.confidence == 0 for r in segments)
+
+
+def test_many_letters():
+    profiles = language.Profiles("".join(map(chr, range(0x4E00, 0x4E00 + 200))))
+    texts = ["".join(chr(0x4E00 + (k * 7 + i) % 100 + 100 * h) for i in range(60)) for h in (0, 1) for k in range(30)]
+    profiles.train(texts, ["en"] * 30 + ["ru"] * 30)
+    assert (profiles.cosines(texts)[0].argmax(axis=1) == [1] * 30 + [6] * 30).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "seq bigint, original_text string, language string")
     assert language.mislabelled(df).collect() == [] and language.labelled(df).collect() == []
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-def test_held_out_accuracy(spark):
-    """Labels of single-language texts are right in well over nine tenths of the rows, so agreement must be as high."""
+def test_held_out_accuracy_and_confidence(spark):
+    """Against labels of the other half that the text's best language does not deny, and of all; confidences as often right as they say."""
     df = spark.read.parquet(str(SF))
-    train = df.where("pmod(seq, 2) = 0")
-    profiles = language.fit(train)
+    profiles = language.fit(df.where("pmod(seq, 2) = 0"))
     rows = [(r.original_text, language.named(r.language)) for r in df.where("pmod(seq, 2) = 1").select("original_text", "language").collect()]
     rows = [(t, c) for t, c in rows if c]
     _, ways, _, _, _ = language.label_texts(profiles, [t for t, _ in rows])
     right = sum(language.LANGUAGES.index(c) in way for (_, c), way in zip(rows, ways, strict=True))
     assert right / len(rows) > 0.93
+    parts = [(language._plain(p), c) for (t, c), way in zip(rows, ways, strict=True) if set(way) == {language.LANGUAGES.index(c)} for p in language.segments(t)]
+    cosines, norms, _ = profiles.cosines([p for p, _ in parts])
+    share = profiles.confidence(cosines[norms > 0])
+    hit = share.argmax(axis=1) == np.array([language.LANGUAGES.index(c) for (_, c), n in zip(parts, norms, strict=True) if n > 0])
+    assert abs(share.max(axis=1).mean() - hit.mean()) < 0.05

@@ -1,9 +1,10 @@
 """Language of texts and of their segments by hyperdimensional profiles.
 
 Every letter has a random vector of signs.  A letter n-gram is the product (binding) of its letters' vectors, each
-permuted by its place; a profile is a weighted sum (bundle) of n-gram vectors.  A segment is compared with the
-language prototypes by cosine.  Since a bundle is a sum, the cosine's dot product is the sum of those of its n-grams,
-which a worker makes once for each distinct n-gram.
+permuted by its place; a profile is a weighted sum (bundle) of n-gram vectors.  A segment goes to the language
+prototype of greatest cosine; in a text of several segments each cosine counts by the segment's length (norm), and a
+change of language has a price.  The prototypes have length one.  Since a bundle is a sum, the cosine's dot product
+is the sum of those of its n-grams, which a worker makes once for each distinct n-gram.
 """
 
 from __future__ import annotations
@@ -35,10 +36,15 @@ _CODE = {n: code for code, names in NAMES.items() for n in (code, *names)}
 #: Width of a hypervector; rows that the prototypes are made of, at most.
 DIMENSIONS = 8192
 TRAINING_ROWS = 12_000
-#: What a change of language inside a text costs, in the units of a segment's evidence, and the letters it needs.
+#: What a change of language inside a text costs, in nats of evidence, and the letters of the language that it takes to.
 SWITCH = 14.0
 SENTENCE_LETTERS = 24
-_SCALE = 0.35
+#: Every letter is in three trigrams, so this share of their evidence counts.
+SHARE = 1 / 3
+#: A text whose n-grams speak for its best language less than this share of what labelled texts' do has no language.
+FLOOR = 0.25
+#: Letters with a vector of their own; no union of the alphabets in question has as many.
+ALPHABET = 254
 
 #: Words of a segment at most; a longer one, in which nothing ends a sentence, is taken in parts of PART_WORDS.
 SEGMENT_WORDS, PART_WORDS = 40, 12
@@ -82,9 +88,10 @@ class Profiles:
     """Letters, prototypes and the scores of n-grams.  Pickled with the prototypes only."""
 
     def __init__(self, letters: str, seed: int = 11) -> None:
-        self.letters = letters[:126]
+        self.letters = letters[:ALPHABET]
         self.seed = seed
         self.prototypes = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
+        self.nats, self.floor, self.sharpness = 1.0, 0.0, 40.0
         self._prepare()
 
     def _prepare(self) -> None:
@@ -98,12 +105,12 @@ class Profiles:
         for c in (0xD7, 0xF7):
             self.table[c] = 0
         rng = np.random.default_rng(self.seed)
-        self.vectors = (rng.integers(0, 2, (128, DIMENSIONS), np.int8) * 2 - 1).astype(np.int8)
-        self.places = np.full(1 << 21, -1, np.int32)
+        self.vectors = (rng.integers(0, 2, (256, DIMENSIONS), np.int8) * 2 - 1).astype(np.int8)
+        self.places = np.full(1 << 24, -1, np.int32)
         self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"letters": self.letters, "seed": self.seed, "prototypes": self.prototypes}
+        return {k: getattr(self, k) for k in ("letters", "seed", "prototypes", "nats", "floor", "sharpness")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -112,7 +119,7 @@ class Profiles:
     def vector(self, grams: np.ndarray) -> np.ndarray:
         """The n-gram vectors: letters' vectors permuted by place and bound."""
         v = self.vectors
-        return np.roll(v, 2, axis=1)[grams >> 14] * np.roll(v, 1, axis=1)[(grams >> 7) & 127] * v[grams & 127]
+        return np.roll(v, 2, axis=1)[grams >> 16] * np.roll(v, 1, axis=1)[(grams >> 8) & 255] * v[grams & 255]
 
     def grams(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Trigrams of all parts, the number of part of each, and the letters of each part; folded text in."""
@@ -126,12 +133,12 @@ class Profiles:
         x, whose = x[keep], whose[keep]
         if len(x) < 3:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), letters
-        g = (x[:-2] << 14) | (x[1:-1] << 7) | x[2:]
+        g = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
         real = x[1:-1] > 0
         return g[real], whose[1:-1][real], letters
 
-    def evidence(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dot products of each part's bundle with the prototypes, its norm (n-gram vectors are all but orthogonal), its letters."""
+    def cosines(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines of each part's bundle with the prototypes, its norm (n-gram vectors are all but orthogonal), its letters."""
         g, whose, letters = self.grams(parts)
         new = np.unique(g[self.places[g] < 0])
         if len(new):
@@ -140,7 +147,13 @@ class Profiles:
             self.scores = np.concatenate([self.scores, *made])
         at = self.places[g]
         dots = np.stack([np.bincount(whose, self.scores[at, k], len(parts)) for k in range(len(LANGUAGES))], axis=1)
-        return dots, np.sqrt(np.maximum(np.bincount(whose, minlength=len(parts)), 1) * DIMENSIONS), letters
+        norms = np.sqrt(np.bincount(whose, minlength=len(parts)) * float(DIMENSIONS))
+        return dots / np.maximum(norms, 1)[:, None], norms, letters
+
+    def confidence(self, cosines: np.ndarray) -> np.ndarray:
+        """Cosines as shares of one; sharpness makes them fit how often labelled segments are right."""
+        e = np.where(self.prototypes.any(axis=1), np.exp((cosines - cosines.max(axis=1, keepdims=True)) * self.sharpness), 0)
+        return e / np.maximum(e.sum(axis=1, keepdims=True), 1e-30)
 
     def train(self, texts: list[str], labels: list[str], rounds: int = 3) -> Profiles:
         """Prototypes from labelled texts; texts whose label the last round's prototypes deny are left out of the next."""
@@ -159,13 +172,40 @@ class Profiles:
             weight = np.log(share) - np.log(share[some]).mean(axis=0)
             weight[:, counts.sum(axis=0) < 3] = 0
             weight[~some] = 0
-            self.prototypes = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
+            made = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
             for at in range(0, len(distinct), 512):
-                self.prototypes += weight[:, at : at + 512].astype(np.float32) @ self.vector(distinct[at : at + 512]).astype(np.float32)
+                made += weight[:, at : at + 512].astype(np.float32) @ self.vector(distinct[at : at + 512]).astype(np.float32)
+            size = np.linalg.norm(made, axis=1, keepdims=True)
+            self.prototypes = made / np.maximum(size, 1e-9)
+            self.nats = float(size[some].mean()) / DIMENSIONS  # a dot product in nats
             self.places[:] = -1
             self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
-            if k + 1 < rounds:
-                keep = np.where(some, self.evidence(parts)[0], -np.inf).argmax(axis=1) == y
+            cosines, norms, _ = self.cosines(parts)
+            best = np.where(some, cosines, -np.inf).argmax(axis=1)
+            keep = best == y
+        strength = cosines[np.arange(len(y)), y] / np.maximum(norms, 1)
+        self.floor = FLOOR * float(np.median(strength[keep])) if keep.any() else 0.0
+        return self
+
+    def calibrate(self, texts: list[str], labels: list[str]) -> Profiles:
+        """Set the sharpness under which the segments of labelled texts are most likely; texts of another best language are wrongly labelled."""
+        y = np.array([LANGUAGES.index(x) for x in labels], np.int64)
+        if not len(y):
+            return self
+        right = self.cosines([_plain(t) for t in texts])[0].argmax(axis=1) == y
+        parts = [(p, k) for t, k, ok in zip(texts, y.tolist(), right, strict=True) if ok for s in segments(t) if (p := _plain(s)).strip()]
+        if not parts:
+            return self
+        cosines, norms, _ = self.cosines([p for p, _ in parts])
+        of = np.array([k for _, k in parts])
+        best = -np.inf
+        for sharpness in np.geomspace(4, 400, 40):
+            self.sharpness, before = float(sharpness), self.sharpness
+            fit = float(np.log(np.maximum(self.confidence(cosines)[np.arange(len(of)), of], 1e-12))[norms > 0].mean())
+            if fit <= best:
+                self.sharpness = before
+                break
+            best = fit
         return self
 
 
@@ -184,20 +224,26 @@ def _path(gains: np.ndarray) -> list[int]:
 
 
 def label_texts(profiles: Profiles, texts: list[str]) -> tuple[list[list[str]], list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Segments and language numbers of each text; dots, norms and where each text's segments begin."""
+    """Segments and language numbers (-1 for none) of each text; cosines, norms and where each text's segments begin."""
     parts = [segments(t) for t in texts]
-    dots, norms, letters = profiles.evidence([_plain(p) for ps in parts for p in ps])
-    gains = dots * (_SCALE / DIMENSIONS)
+    cosines, norms, letters = profiles.cosines([_plain(p) for ps in parts for p in ps])
+    gains = cosines * norms[:, None] * (profiles.nats * SHARE)
     if (some := profiles.prototypes.any(axis=1)).any():
         gains[:, ~some] = -1e9
     begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     top = gains.argmax(axis=1)
-    some = np.add.reduceat(gains, begin[:-1]) if len(parts) else gains
-    overall = some.argmax(axis=1)
-    apart = np.bincount(np.repeat(np.arange(len(parts)), np.diff(begin)), top != np.repeat(overall, np.diff(begin)), len(parts)) > 0
+    summed = np.add.reduceat(gains, begin[:-1]) if len(parts) else gains
+    overall = summed.argmax(axis=1)
+    squares = np.add.reduceat(norms**2, begin[:-1]) if len(parts) else norms
+    dots = np.add.reduceat(cosines * norms[:, None], begin[:-1]) if len(parts) else cosines
+    spoken = (squares > 0) & (dots.max(axis=1, initial=0) > profiles.floor * squares)
+    apart = np.bincount(np.repeat(np.arange(len(parts)), np.diff(begin)), (top != np.repeat(overall, np.diff(begin))) & (norms > 0), len(parts)) > 0
     out: list[list[int]] = []
     for i in range(len(parts)):
         a, b = begin[i], begin[i + 1]
+        if not spoken[i]:
+            out.append([-1] * int(b - a))
+            continue
         if not apart[i]:
             out.append([int(overall[i])] * int(b - a))
             continue
@@ -208,7 +254,7 @@ def label_texts(profiles: Profiles, texts: list[str]) -> tuple[list[list[str]],
         kept = {k for k, n in size.items() if n >= SENTENCE_LETTERS} or {int(overall[i])}
         strongest = max(kept, key=lambda k: size[k])
         out.append([k if k in kept else strongest for k in way])
-    return parts, out, dots, norms, begin
+    return parts, out, cosines, norms, begin
 
 
 def fit(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_text", label_col: str = "language", training_rows: int = TRAINING_ROWS) -> Profiles:
@@ -219,15 +265,11 @@ def fit(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_text"
     known = [(r.t, code) for r in sample if (code := named(r.l))]
     letters = Counter(c for t, _ in known for c in folded(t) if c.isalpha())
     profiles = Profiles("".join(c for c, n in letters.most_common() if n >= 3))
-    return profiles.train([t for t, _ in known], [c for _, c in known]) if known else profiles
-
-
-def _confidence(dots: np.ndarray, norms: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
-    """Cosines with the prototypes, as shares of one."""
-    lengths = np.linalg.norm(prototypes, axis=1)
-    cosine = np.where(lengths > 0, dots / (norms[:, None] * np.maximum(lengths, 1e-6)[None, :]), -1)
-    e = np.exp((cosine - cosine.max(axis=1, keepdims=True)) * 40)
-    return e / e.sum(axis=1, keepdims=True)
+    if not known:
+        return profiles
+    held = known[::5] if len(known) >= 50 else known  # the sharpness is found on texts apart, if there are enough
+    learnt = [x for i, x in enumerate(known) if i % 5] if len(known) >= 50 else known
+    return profiles.train(*map(list, zip(*learnt, strict=True))).calibrate(*map(list, zip(*held, strict=True)))
 
 
 def _read(rows: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -239,7 +281,8 @@ def labelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_
     """seq, language, segment_no, segment, lang, confidence: the segments of every row with a text.
 
     Null and blank texts give no segment; a null id stays null.  Adjacent segments of one language are one.  language
-    is the row's label, confidence the share of lang among the cosines with all prototypes.  Needs no shuffle.
+    is the row's label, confidence the share of lang among the cosines with all prototypes.  A text without letters,
+    or in letters or a language of no prototype, has a null lang with confidence 0.  Needs no shuffle.
     """
     held = rows.sparkSession.sparkContext.broadcast(fit(rows, id_col=id_col, text_col=text_col, label_col=label_col, training_rows=training_rows))
     names = ["seq", "language", "segment_no", "segment", "lang", "confidence"]
@@ -250,7 +293,7 @@ def labelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_
             if not len(pdf):
                 continue
             ids, said = pdf["seq"].tolist(), pdf["language"].tolist()
-            parts, way, dots, norms, begin = label_texts(profiles, pdf["text"].tolist())
+            parts, way, cosines, norms, begin = label_texts(profiles, pdf["text"].tolist())
             out: list[tuple] = []
             edges: list[tuple[int, int]] = []
             for i, ks in enumerate(way):
@@ -261,10 +304,11 @@ def labelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_
                         edges.append((int(begin[i]) + a, int(begin[i]) + j))
                         a, n = j, n + 1
             low, high = np.array(edges).T
-            sums = np.concatenate([np.zeros((1, dots.shape[1])), np.cumsum(dots, axis=0)])
+            sums = np.concatenate([np.zeros((1, cosines.shape[1])), np.cumsum(cosines * norms[:, None], axis=0)])
             squares = np.concatenate([[0], np.cumsum(norms**2)])
-            share = _confidence(sums[high] - sums[low], np.sqrt(squares[high] - squares[low]), profiles.prototypes)
-            yield pd.DataFrame([(*r[:4], LANGUAGES[r[4]], round(float(share[k, r[4]]), 6)) for k, r in enumerate(out)], columns=names)
+            share = profiles.confidence((sums[high] - sums[low]) / np.sqrt(np.maximum(squares[high] - squares[low], 1))[:, None])
+            known = [(None, 0.0) if r[4] < 0 else (LANGUAGES[r[4]], round(float(share[k, r[4]]), 6)) for k, r in enumerate(out)]
+            yield pd.DataFrame([(*r[:4], *x) for r, x in zip(out, known, strict=True)], columns=names)
 
     return _read(rows, id_col, text_col, label_col).mapInPandas(run, "seq bigint, language string, segment_no int, segment string, lang string, confidence double")
 
@@ -272,7 +316,7 @@ def labelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_
 def mislabelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_text", label_col: str = "language", training_rows: int = TRAINING_ROWS) -> DataFrame:
     """seq, lang: each language of each text whose label is absent, names none of its languages, or is one of several.
 
-    Rows with a null id are left out, and null and blank texts as in labelled().  Needs no shuffle.
+    Rows with a null id are left out, and null and blank texts and those of no language as in labelled().  Needs no shuffle.
     """
     held = rows.sparkSession.sparkContext.broadcast(fit(rows, id_col=id_col, text_col=text_col, label_col=label_col, training_rows=training_rows))
 
@@ -283,8 +327,8 @@ def mislabelled(rows: DataFrame, *, id_col: str = "seq", text_col: str = "origin
             out = []
             _, way, _, _, _ = label_texts(held.value, pdf["text"].tolist())
             for seq, said, ks in zip(pdf["seq"].tolist(), pdf["language"].tolist(), way, strict=True):
-                found = sorted({LANGUAGES[k] for k in ks})
-                if len(found) > 1 or named(said) != found[0]:
+                found = sorted({LANGUAGES[k] for k in ks if k >= 0})
+                if len(found) > 1 or (found and named(said) != found[0]):
                     out += [(seq, lang) for lang in found]
             yield pd.DataFrame(out, columns=["seq", "lang"])
 
