@@ -92,6 +92,7 @@ class Profiles:
         self.seed = seed
         self.prototypes = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
         self.nats, self.floor, self.sharpness = 1.0, 0.0, 40.0
+        self.gain = np.ones(len(LANGUAGES))
         self._prepare()
 
     def _prepare(self) -> None:
@@ -110,7 +111,7 @@ class Profiles:
         self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("letters", "seed", "prototypes", "nats", "floor", "sharpness")}
+        return {k: getattr(self, k) for k in ("letters", "seed", "prototypes", "nats", "floor", "sharpness", "gain")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -138,7 +139,11 @@ class Profiles:
         return g[real], whose[1:-1][real], letters
 
     def cosines(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cosines of each part's bundle with the prototypes, its norm (n-gram vectors are all but orthogonal), its letters."""
+        """Cosines of each part's bundle with the prototypes, its norm (n-gram vectors are all but orthogonal), its letters.
+
+        Each language's cosines are relative to those that its own texts have, since a prototype of more texts has more
+        n-grams and smaller cosines.
+        """
         g, whose, letters = self.grams(parts)
         new = np.unique(g[self.places[g] < 0])
         if len(new):
@@ -148,7 +153,7 @@ class Profiles:
         at = self.places[g]
         dots = np.stack([np.bincount(whose, self.scores[at, k], len(parts)) for k in range(len(LANGUAGES))], axis=1)
         norms = np.sqrt(np.bincount(whose, minlength=len(parts)) * float(DIMENSIONS))
-        return dots / np.maximum(norms, 1)[:, None], norms, letters
+        return dots / np.maximum(norms, 1)[:, None] * self.gain, norms, letters
 
     def confidence(self, cosines: np.ndarray) -> np.ndarray:
         """Cosines as shares of one; sharpness makes them fit how often labelled segments are right."""
@@ -177,6 +182,7 @@ class Profiles:
                 made += weight[:, at : at + 512].astype(np.float32) @ self.vector(distinct[at : at + 512]).astype(np.float32)
             size = np.linalg.norm(made, axis=1, keepdims=True)
             self.prototypes = made / np.maximum(size, 1e-9)
+            self.gain = np.ones(len(LANGUAGES))
             self.nats = float(size[some].mean()) / DIMENSIONS  # a dot product in nats
             self.places[:] = -1
             self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
@@ -184,7 +190,11 @@ class Profiles:
             best = np.where(some, cosines, -np.inf).argmax(axis=1)
             keep = best == y
         strength = cosines[np.arange(len(y)), y] / np.maximum(norms, 1)
-        self.floor = FLOOR * float(np.median(strength[keep])) if keep.any() else 0.0
+        own = np.array([np.median(strength[keep & (y == k)]) if (keep & (y == k)).any() else 0.0 for k in range(len(LANGUAGES))])
+        if (own > 0).any():
+            typical = float(own[own > 0].mean())
+            self.gain = np.where(own > 0, typical / np.maximum(own, 1e-12), 1.0)
+            self.floor = FLOOR * typical
         return self
 
     def calibrate(self, texts: list[str], labels: list[str]) -> Profiles:
