@@ -245,8 +245,9 @@ def label_texts(profiles: Profiles, texts: list[str]) -> tuple[list[list[str]],
     summed = np.add.reduceat(gains, begin[:-1]) if len(parts) else gains
     overall = summed.argmax(axis=1)
     squares = np.add.reduceat(norms**2, begin[:-1]) if len(parts) else norms
-    dots = np.add.reduceat(cosines * norms[:, None], begin[:-1]) if len(parts) else cosines
-    spoken = (squares > 0) & (dots.max(axis=1, initial=0) > profiles.floor * squares)
+    best = cosines.max(axis=1, initial=0) * norms  # of each segment by itself: two languages speak against each other
+    dots = np.add.reduceat(best, begin[:-1]) if len(parts) else best
+    spoken = (squares > 0) & (dots > profiles.floor * squares)
     apart = np.bincount(np.repeat(np.arange(len(parts)), np.diff(begin)), (top != np.repeat(overall, np.diff(begin))) & (norms > 0), len(parts)) > 0
     out: list[list[int]] = []
     for i in range(len(parts)):
