@@ -21,11 +21,12 @@ def test_first_reason_order_and_edges(spark):
         (3, "manual", NOW - timedelta(days=99), None, None, "long enough to be kept here"), (4, "x:a", NOW, "BOB", "1", "short"),
         (5, "x:a", NOW, None, "u9", "long enough to be kept here"), (6, None, NOW, "eve", "1", "https://a.b/c @eve #été $x hi"),
         (7, "x:a", NOW, "eve", "1", "long enough but spam inside it"), (8, "x:a", None, None, None, None), (9, "x:a", NOW, None, None, ""),
+        (10, "x:a", NOW, "Straße", None, "long enough to be kept here"),
     ]
     df = spark.createDataFrame(rows, "seq int, source_key string, published_at timestamp_ntz, author_handle string, author_id string, normalized_text string")
-    policy = screen.Policy(blocked_authors=("bob", "u9"), blocked_terms=("spam",))
+    policy = screen.Policy(blocked_authors=("bob", "u9", "strasse"), blocked_terms=("spam",))
     got = {r.seq: r.r for r in df.select("seq", screen.first_reason(policy, NOW).alias("r")).collect()}
-    assert got == {1: None, 2: "too_old", 3: None, 4: "blocked_author", 5: "blocked_author", 6: "too_short", 7: "blocked_term", 8: None, 9: "too_short"}
+    assert got == {1: None, 2: "too_old", 3: None, 4: "blocked_author", 5: "blocked_author", 6: "too_short", 7: "blocked_term", 8: None, 9: "too_short", 10: "blocked_author"}
 
 
 def _greedy(rows):

@@ -5,6 +5,7 @@ import json
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.operators import screen
 from tideline.sources import feeds, posts, quotes, registry
@@ -54,6 +55,17 @@ def test_feeds(spark):
     assert got["r:http://g.example/1"].published_at == NOW.replace(tzinfo=None) and got["a:e1"].url == "https://f.example/real" and got["a:e1"].language == "de"
 
 
+def test_feed_identity_and_damage(spark):
+    long = "g" * 300
+    body = f"<rss><channel><item><guid>{long}</guid><link>https://a.example/x</link><title>T</title><author>Al <b>Bo</b></author></item><item><link>ftp://a.example/x</link><title>T</title></item><item><link>https://a.example/y</link></item></channel></rss>"
+    docs = [("l", "https://f.example/", body.encode()), ("l", "https://f.example/", b"<rss><channel></channel></rss>"), ("d", None, b"<rss><item></rss>")]
+    parsed = feeds.read(spark.createDataFrame(docs, "name string, url string, body binary"), NOW).collect()
+    counts = sorted((r.name, r.error_code or "", r.entries_seen, r.entries_rejected) for r in parsed if r.entries_seen is not None)
+    assert counts == [("d", "malformed_feed", 0, 0), ("l", "", 0, 0), ("l", "", 3, 2)]
+    (item,) = [r for r in parsed if r.external_id]
+    assert item.external_id.startswith("l:sha256:") and len(item.external_id) == 73 and item.author_display_name == "Al Bo"
+
+
 def test_posts(spark, tmp_path):
     page = {"data": [{"id": "10", "text": "a &amp; b", "author_id": "u", "created_at": "2026-01-01T00:00:00Z", "public_metrics": {"like_count": 3, "repost_count": 2}}, {"id": "9", "text": "x"}, "junk", {"id": "11", "text": "s", "note_tweet": {"text": "long"}, "created_at": "2026-01-01T00:00:00Z"}], "includes": {"users": [{"id": "u", "username": "ann", "name": "Ann"}]}}
     (tmp_path / "1.json").write_text(json.dumps(page))
@@ -69,9 +81,12 @@ def test_registry(spark):
     def broken(_):
         raise OSError
 
+    def failing(s):  # when run
+        return registry.memory(s, [row]).withColumn("url", F.raise_error(F.lit("down")).cast("string"))
+
     row = {"source": "x", "external_id": "1", "url": "https://a.example/", "original_text": "t"}
-    items, errors = registry.collect(spark, [registry.Source("m", lambda s: registry.memory(s, [row])), registry.Source("b", broken), registry.Source("off", broken, enabled=False)])
-    assert items.count() == 1 and errors == {"b": "OSError"}
+    items, errors = registry.collect(spark, [registry.Source("m", lambda s: registry.memory(s, [row])), registry.Source("b", broken), registry.Source("late", failing), registry.Source("off", broken, enabled=False)])
+    assert items.count() == 1 and set(errors) == {"b", "late"} and errors["b"] == "OSError"
 
 
 @pytest.mark.parametrize("split", [1, 3])

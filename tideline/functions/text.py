@@ -59,6 +59,7 @@ def storable(text: str) -> bool:
 
 normalize_text = _mapped(normalized)
 comparison_text = _mapped(comparison)
+case_folded = _mapped(str.casefold)
 quote_text = _mapped(quotable)
 html_plain = _mapped(plain)
 is_storable = _mapped(storable, "boolean")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.urls import SHARED_URL_SOURCES
+from tideline.session import materialize
 
 
 def first_by(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -29,26 +27,33 @@ def unknown(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.join(ids, ["source", "external_id"], "left_anti").join(urls, ["source", "url"], "left_anti").select(*batch.columns)
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    source, ids, urls = None, set(), set()
-    for pdf in batches:
-        kept = []
-        for row in pdf.itertuples(index=False):
-            if row.source != source:
-                source, ids, urls = row.source, set(), set()
-            if row.external_id in ids or (row.url is not None and row.url in urls):
-                continue
-            ids.add(row.external_id)
-            urls.add(row.url)
-            kept.append(row.seq)
-        yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+def _kept(bound: DataFrame) -> DataFrame:
+    """seq of the rows that are kept, of seq, source, external_id, url, in rounds over the least rows of their keys.
+
+    A row that is the first undecided one of both its keys is kept, a row with a key of a kept one is not; both are
+    minima, combined before their shuffle.  Rounds are as many as the longest chain of rows that hang on one another.
+    """
+    of = lambda name: F.struct(F.lit(name).alias("type"), "source", F.col(name).alias("value"))
+    undecided = bound.select("seq", F.explode(F.array(of("external_id"), of("url"))).alias("key")).where("key.value IS NOT NULL")
+    undecided = materialize(undecided, "greedy")
+    out = None
+    while True:
+        heads = undecided.groupBy("key").agg(F.min("seq").alias("head"))
+        first = undecided.join(heads, "key").groupBy("seq").agg(F.min("head").alias("head"), F.collect_list("key").alias("keys")).where("head = seq")
+        first = materialize(first.select("seq", "keys"), "greedy")
+        part = first.select("seq")
+        out = part if out is None else out.unionAll(part)
+        taken = undecided.join(first.select(F.explode("keys").alias("key")), "key", "left_semi").select("seq").distinct()
+        undecided = materialize(undecided.join(taken, "seq", "left_anti"), "greedy")
+        if not undecided.limit(1).count():
+            return out
 
 
 def greedy(rows: DataFrame) -> DataFrame:
     """SET-03: rows kept when neither their id nor their URL was kept before within the source, in seq order.
 
-    Rows whose id and URL are each alone in the source need no order and pass; the others are followed in order, a
-    source's conflicts in one task, with its keys only.  A source whose items share URLs is decided by id alone, by
+    Rows whose id and URL are each alone in the source need no order and pass; the others are decided in rounds, with
+    their keys only.  A source whose items share URLs is decided by id alone, by
     aggregation.  Null ids and URLs repeat nothing; seq is unique and not null.
     """
     keyed = rows.select("seq", "source", "external_id", "url").where("source IS NOT NULL AND external_id IS NOT NULL")
@@ -61,7 +66,7 @@ def greedy(rows: DataFrame) -> DataFrame:
     marked = marked.join(twice_url.select("source", "url", F.lit(True).alias("b")), ["source", "url"], "left")
     free = marked.where("a IS NULL AND b IS NULL").select("seq")
     bound = marked.where("a OR b").select("source", "seq", "external_id", "url")
-    followed = bound.repartition("source").sortWithinPartitions("source", "seq").mapInPandas(_greedy, "seq bigint")
+    followed = _kept(bound)
     nameless = rows.where("source IS NULL OR external_id IS NULL").select("seq")
     return rows.join(by_id.unionAll(free).unionAll(followed).unionAll(nameless), "seq", "left_semi")
 

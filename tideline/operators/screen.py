@@ -47,7 +47,7 @@ def first_reason(policy: Policy, now: datetime) -> Column:
     old = (F.coalesce("source_key", F.lit("")) != MANUAL) & (F.col("published_at").cast("timestamp_ntz") < oldest)
     reason = F.when(old, F.lit("too_old"))
     if policy.blocked_authors:
-        keys = F.array_compact(F.array(F.lower("author_handle"), "author_id"))
+        keys = F.array_compact(F.array(text.case_folded("author_handle"), "author_id"))
         reason = reason.when(F.arrays_overlap(keys, F.array(*map(F.lit, policy.blocked_authors))), F.lit("blocked_author"))
     reason = reason.when(text.bare_length(F.col("normalized_text")) < policy.least_length, F.lit("too_short"))
     if policy.blocked_terms:

@@ -94,6 +94,15 @@ def agg_source_quality(t) -> DataFrame:  # noqa: ANN001
     return read_models.source_quality(t("radar_events"), t("telegram_deliveries"), t("publication_outbox"))
 
 
+@_query("""SELECT e.source_key, count(DISTINCT d.event_id) AS cards, count(DISTINCT o.event_id) AS approved
+  FROM radar_events e LEFT JOIN telegram_deliveries d ON d.event_id = e.id
+  LEFT JOIN publication_outbox o ON o.event_id = e.id GROUP BY e.source_key ORDER BY approved DESC, cards DESC, e.source_key NULLS FIRST LIMIT 20""")
+def srt_source_quality(t) -> DataFrame:  # noqa: ANN001
+    """SRT-11."""
+    made = read_models.source_quality(t("radar_events"), t("telegram_deliveries"), t("publication_outbox"))
+    return read_models.top(made, 20, F.desc("approved"), F.desc("cards"), F.col("source_key"))
+
+
 @_query("""SELECT count(id) - count(DISTINCT id) AS id_repeats, count(url) - count(DISTINCT url) AS url_repeats,
   count(content_hash) - count(DISTINCT content_hash) AS content_hash_repeats FROM radar_events""")
 def agg_dup_audit(t) -> DataFrame:  # noqa: ANN001
@@ -300,7 +309,7 @@ def str_comparison(t) -> DataFrame:  # noqa: ANN001
 
 @_query("SELECT seq, sha256(normalized_text) AS hash, substr(sha256(url || chr(10) || original_text), 1, 32) AS quote_id FROM radar_events")
 def str_sha(t) -> DataFrame:  # noqa: ANN001
-    """STR-F9, SET-08, ID-F1."""
+    """STR-F9."""
     return t("radar_events").select("seq", F.sha2("normalized_text", 256).alias("hash"), text.digest(F.col("url"), F.col("original_text"), length=32).alias("quote_id"))
 
 
@@ -367,7 +376,7 @@ def score_offline(t) -> DataFrame:  # noqa: ANN001
 @_query("""SELECT event_id, total AS stored, greatest(0, least(100, qmemo_relevance + quote_strength + discussion_potential + freshness + clarity + action_likelihood - risk_penalty)) AS total
   FROM event_scores""")
 def score_totals(t) -> DataFrame:  # noqa: ANN001
-    """AGG-11, FLT-14: totals made again."""
+    """AGG-11: totals made again."""
     return t("event_scores").select("event_id", F.col("total").alias("stored"), score.total().alias("total"))
 
 
@@ -406,7 +415,7 @@ def snk_idempotent(t) -> DataFrame:  # noqa: ANN001
 
 @_query("SELECT count(*) AS n, count(DISTINCT message_id) AS messages, min(delivered_at) AS first, max(delivered_at) AS last, chat_id FROM telegram_deliveries GROUP BY chat_id")
 def agg_chats(t) -> DataFrame:  # noqa: ANN001
-    """SNK-06, AGG-04: deliveries of each chat."""
+    """AGG-04: deliveries of each chat."""
     return t("telegram_deliveries").groupBy("chat_id").agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("messages"), F.min("delivered_at").alias("first"), F.max("delivered_at").alias("last"))
 
 

@@ -1,4 +1,4 @@
-"""Pages of posts in JSON (SRC-13..16)."""
+"""Pages of posts in JSON (SRC-13..15)."""
 
 from __future__ import annotations
 

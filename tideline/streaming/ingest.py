@@ -43,6 +43,7 @@ class Store:
 
 
 EVENTS = "id string, seq bigint, source string, external_id string, url string, normalized_text string, content_hash string, reason string, duplicate_of string, published_at timestamp, source_key string"
+CLOCK = "now timestamp_ntz"
 METRICS = "source_key string, metric string, value bigint"
 
 
@@ -50,15 +51,18 @@ def cycle(store: Store, policy: screen.Policy, now: Callable[[], datetime]) -> C
     """A foreachBatch function: normalize, screen, drop what is known, link copies, append events and metric deltas.
 
     Items carry seq, their order of arrival.  What is late stays with its reason.  A batch that is played again
-    writes the same directory again and looks only at batches before it.
+    writes the same directory again: it looks only at batches before it, and at the time that its first run kept.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        if not has_table(store.spark, f"{store.folder}/clock/batch={number}"):
+            store.append("clock", store.spark.createDataFrame([(now(),)], CLOCK), number)
+        moment = store.spark.read.schema(CLOCK).parquet(f"{store.folder}/clock/batch={number}").first().now
         stored = store.read("events", EVENTS, number)
         made = screen.candidates(batch.where(screen.is_valid(batch)))
         made = made.withColumn("id", F.substring(F.sha2(F.concat_ws("\n", "source", "external_id"), 256), 1, 32))
         fresh = dedup.greedy(dedup.unknown(made, stored))
-        fresh = fresh.withColumn("reason", screen.first_reason(policy, now()))
+        fresh = fresh.withColumn("reason", screen.first_reason(policy, moment))
         known = stored.where("reason IS NULL OR reason <> 'duplicate_content'").select("seq", "id", "content_hash")
         owners = dedup.owners(known.unionByName(fresh.select("seq", "id", "content_hash")))
         linked = fresh.join(owners, "content_hash", "left")
