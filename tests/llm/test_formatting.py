@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tideline.llm import formatting
+from tideline.llm import canonical, formatting
 from tideline.llm.canonical import kind, words
 
 SCHEMA = "seq bigint, original_text string, key string, rep int, members string"
@@ -69,6 +70,32 @@ def test_copies_with_hot_text_and_nulls(spark, sentence, bucket_rows):
     assert sorted(r.copies for r in formatting.records(df, bucket_rows=bucket_rows).collect()) == sorted(kinds.values())
 
 
+def test_hot_text_over_many_blocks(spark, monkeypatch):
+    """A third of all rows has one text, in 40 blocks, and the text's bucket is dealt into parts."""
+    rows = [(i, "The HOT text" if i % 3 == 0 else f"text {i // 6}", "c") for i in range(600)]
+    df = spark.createDataFrame(rows, "seq bigint, original_text string, text string").repartition(40)
+    got = {(r.first_seq, r.copy_seq) for r in formatting.copies(df, bucket_rows=5).collect()}
+    firsts: dict[str, int] = {}
+    assert got == {(firsts[t], i) for i, t, _ in rows if firsts.setdefault(t, i) != i}
+    counted = {r.first_seq: r.copies for r in formatting.records(df, bucket_rows=5).collect()}
+    assert counted[0] == 200 and sum(counted.values()) == 600
+    monkeypatch.setattr(formatting, "BLOCK_BYTES", 400)  # ids count towards a block
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["hot"] * 600)], ["id", "text"])
+    sizes = [len(m) for b in formatting._groups(iter([batch])) for m in b.column(2).to_pylist()]
+    assert max(sizes) <= 50 and sum(sizes) == 600
+
+
+LAYOUTS = [
+    "Name: Ann\nAge: 5\nCity of first residence: Rome", "City of first residence = Rome; Age = 5; Name = Ann", "Name: Ann\tAge: 5\tCity of first residence: Rome",
+    "Age: 5, Name: Ann, City of first residence: Rome", '{"age": 5, "name": "Ann", "city of first residence": "Rome"}', "• Name - Ann | • Age - 5 | • City of first residence - Rome",
+]
+
+
+def test_layouts_of_fields():
+    assert len({canonical.kind(t) for t in LAYOUTS}) == 1
+    assert canonical.kind("He said: no, she said yes") == canonical.kind("he said no she said YES")
+
+
 def test_empty(spark):
     assert formatting.copies(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from tideline.llm.canonical import kind
 from tideline.session import materialize
 
-#: Bytes of canonical text that a task holds before it emits its groups.
+#: Bytes of canonical texts and ids that a task holds before it emits its groups.
 BLOCK_BYTES = 16 << 20
-#: Rows a bucket may have; grows with the input so that no level has more than MAX_SPLITS oversized buckets.
+#: Rows a bucket may have, at every size of the input.
 BUCKET_ROWS = 20_000
-MAX_SPLITS = 65_536
 
 
 class Trie:
@@ -76,10 +75,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[key].append(seq)
             else:
                 held[key] = [seq]
-                size += len(key)
-        if size > BLOCK_BYTES:
-            yield out()
-            held, size = {}, 0
+                size += len(key) + 64
+            size += 8
+            if size > BLOCK_BYTES:
+                yield out()
+                held, size = {}, 0
     if held:
         yield out()
 
@@ -90,28 +90,37 @@ def blocks(rows: DataFrame, id_col: str = "seq", text_col: str = "original_text"
     return rows.mapInArrow(_groups, "key binary, rep bigint, members array<bigint>")
 
 
-def buckets(reps: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """reps with a column bucket, a prefix of key that is long enough for the bucket to fit.
+def buckets(reps: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, bool]:
+    """reps with columns bucket, a prefix of key that is long enough for the bucket to fit, and part; whether any has parts.
 
-    Level by level the oversized prefixes (at most rows / bucket_rows, and never more than MAX_SPLITS, at any level)
-    are split by further bytes.  A bucket in which no key is longer than the prefix holds one key only, which has at
-    most one row per block and needs no split.
+    Level by level the oversized prefixes are split by further bytes; they stay a table, which Spark broadcasts only
+    below its threshold.  A bucket in which no key is longer than the prefix holds one key only: its rows, one for
+    each block, are dealt into parts that fit.
     """
-    total = reps.count()
-    limit = max(bucket_rows, total // MAX_SPLITS)
-    depth, left, bucket = 4, reps.select("key"), None
+    depth, left, bucket, hot = 4, reps.select("key"), None, None
+    reps = reps.withColumn("part", F.lit(0))
     while True:
         prefix = F.substring("key", 1, depth)
-        over = [r.p for r in left.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest")).where((F.col("n") > limit) & (F.col("longest") > depth)).select("p").collect()]
-        if not over:
-            return reps.withColumn("bucket", prefix if bucket is None else F.coalesce(bucket, prefix))
+        sizes = left.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest")).where(F.col("n") > bucket_rows)
+        over = materialize(sizes, "over")
+        found = over.agg(F.count_if(F.col("longest") > depth).alias("wide"), F.count_if(F.col("longest") <= depth).alias("hot")).first()
+        if found.hot:
+            one = over.where(F.col("longest") <= depth).select(F.col("p").alias("_hot"), F.ceil(F.col("n") / max(2, bucket_rows)).alias("_parts"))
+            hot = one if hot is None else hot.union(one)
+        if not found.wide:
+            break
         name = f"_over{depth}"
-        large = F.broadcast(reps.sparkSession.createDataFrame([(bytes(p), True) for p in over], f"_p{depth} binary, {name} boolean"))
-        reps = reps.join(large, F.substring("key", 1, depth) == F.col(f"_p{depth}"), "left").drop(f"_p{depth}")
+        large = over.where(F.col("longest") > depth).select(F.col("p").alias(f"_p{depth}"), F.lit(True).alias(name))
+        reps = reps.join(large, prefix == F.col(f"_p{depth}"), "left").drop(f"_p{depth}")
         fits = F.when(F.col(name).isNull(), prefix)
         bucket = fits if bucket is None else F.coalesce(bucket, fits)
         left = left.join(large, prefix == F.col(f"_p{depth}"), "left_semi")
         depth *= 2
+    reps = reps.withColumn("bucket", prefix if bucket is None else F.coalesce(bucket, prefix))
+    if hot is not None:
+        reps = reps.join(hot, (F.col("key") == F.col("_hot")) & (F.col("bucket") == F.col("_hot")), "left")
+        reps = reps.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"), F.lit(0)))
+    return reps.select("bucket", "part", "key", "rep", "n"), hot is not None
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,19 +129,30 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": pdf["rep"], "first_seq": [trie.first[i] for i in at], "copies": [trie.count[i] for i in at]})
 
 
+def _tried(reps: DataFrame, bucket_rows: int) -> DataFrame:
+    """rep, first_seq, copies of reps (key, rep, n), by tries over buckets that fit."""
+    placed, parted = buckets(reps, bucket_rows=bucket_rows)
+    counted = placed.groupBy("bucket", "part").applyInPandas(_count, "rep bigint, first_seq bigint, copies bigint")
+    if not parted:
+        return counted
+    # one row for each part and key goes through tries again, a bucket_rows-th of the rows before
+    counted = materialize(counted, "parts")
+    firsts = counted.where("rep = first_seq").select("rep", F.col("copies").alias("n")).join(reps.select("rep", "key"), "rep")
+    whole = _tried(firsts.select("key", "rep", "n"), bucket_rows).select(F.col("rep").alias("_r"), F.col("first_seq").alias("_f"), F.col("copies").alias("_c"))
+    return counted.join(whole, F.col("first_seq") == F.col("_r")).select("rep", F.col("_f").alias("first_seq"), F.col("_c").alias("copies"))
+
+
 def _counted(rows: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     held = materialize(blocks(rows, id_col, text_col), "kinds")
-    reps = buckets(held.select("key", "rep", F.size("members").alias("n")), bucket_rows=bucket_rows)
-    reps = reps.select("bucket", "key", "rep", "n")
-    return held, reps.groupBy("bucket").applyInPandas(_count, "rep bigint, first_seq bigint, copies bigint")
+    return held, _tried(held.select("key", "rep", F.size("members").alias("n")), bucket_rows)
 
 
 def copies(rows: DataFrame, *, id_col: str = "seq", text_col: str = "original_text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """first_seq, copy_seq: each row that is not the first (smallest id) of its kind, with that first row.
 
     Equal kinds are joined within each block before anything is shuffled; what goes through the tries is one row for
-    each kind and block, so a text that holds a third of all rows has one row per block there, and its members are
-    joined back by their block's representative, never by the text.  Rows with a null id or text are left out;
+    each kind and block, so a text that holds a third of all rows has one row per block there, dealt into parts that
+    fit, and its members are joined back by their block's representative, never by the text.  Rows with a null id or text are left out;
     texts without a letter or digit (the empty text among them) are of one kind.  Extra columns are ignored.
     """
     held, counted = _counted(rows, id_col, text_col, bucket_rows)
